@@ -7,17 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .html_density import html_query
 from .mixing import MIXING_SQL, mixing_query
+from .piece_table import pieces_query
+from .secret_worklist import secrets_query
 from .url_reputation import URL_SQL, url_query
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_query(table(spark, sf_dir, "documents"))
 
 
+def op3_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_query(table(spark, sf_dir, "pages"))
+
+
+def op5_secret_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_query(table(spark, sf_dir, "documents"))
+
+
+def op8_piece_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces_query(table(spark, sf_dir, "documents"), piece_model())
+
+
 def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_query(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_source_mixing, op9_url_reputation)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_source_mixing, op3_html_density, op5_secret_worklist, op8_piece_table, op9_url_reputation)}
 ORACLES: dict[str, str] = {"op2_source_mixing": MIXING_SQL, "op9_url_reputation": URL_SQL}
