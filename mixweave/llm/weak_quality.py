@@ -33,6 +33,8 @@ MIN_SCORE = 0.5
 GRAMS, WORDS, BUCKETS = 4096, 4096, 64
 DIMS = GRAMS + WORDS + BUCKETS
 EM_ROUNDS = 100
+#: How often a labeller is held to accuse a good document, and the weight of that against the corpus.
+FALSE_ALARMS, PRIOR_WEIGHT = 1e-3, 20.0
 FIT_ROUNDS = 200
 
 #: Classes of UTF-8 bytes.
@@ -69,8 +71,8 @@ def _vote(bad: bool, good: bool) -> str:
 
 #: Heuristic labellers; each sees one side of a document and abstains in between.
 LABELLERS = (
-    lambda s: _vote(s.letters < 0.75, s.letters > 0.92),
-    lambda s: _vote(s.symbols > 0.8, s.symbols < 0.1),
+    lambda s: _vote(s.letters < 0.4, s.letters > 0.6),
+    lambda s: _vote(s.symbols > 0.8, s.symbols < 0.3),
     lambda s: _vote(s.odd_ends > 0.3, s.odd_ends < 0.05),
     lambda s: _vote(s.n >= 5 and s.upper > 0.5, s.upper < 0.2),
     lambda s: _vote(s.n >= 10 and s.repeats > 0.3, s.n >= 10 and s.repeats < 0.1),
@@ -119,20 +121,23 @@ def vote_docs(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
 
 def fit_votes(counts: dict[str, int], rounds: int = EM_ROUNDS) -> tuple[np.ndarray, float, dict[str, float]]:
     """EM over vote patterns: P(vote | class) as [labeller, class, vote], the share of good
-    documents and each pattern's posterior of good."""
+    documents and each pattern's posterior of good.
+
+    A prior that outweighs the corpus holds that labellers seldom accuse good documents; without it,
+    EM may call the commonest kind of bad document good.
+    """
     patterns = sorted(counts)
     n = np.array([counts[p] for p in patterns], float)
     v = np.array([["-0+".index(x) for x in p] for p in patterns])
     one_hot = np.eye(3)[v]  # pattern, labeller, vote
-    balance = (v - 1).sum(1)
-    good = np.where(balance > 0, 0.9, np.where(balance < 0, 0.1, 0.5))
-    bad_any = (v == 0).any(1)
-    good = np.where(bad_any & (balance <= 3), np.minimum(good, 0.4), good)
-    table, share = np.zeros((v.shape[1], 2, 3)), 0.5
+    weight = np.array([0.0, PRIOR_WEIGHT * n.sum()])  # of the prior, for bad and good documents
+    good = np.where((v == 0).any(1), 0.1, 0.9)
+    table, share = np.empty((0,)), 0.5
     for _ in range(rounds):
         w = np.stack([n * (1 - good), n * good])  # class, pattern
-        table = np.einsum("cp,plv->lcv", w, one_hot) + 0.5
-        table /= table.sum(2, keepdims=True)
+        votes = np.einsum("cp,plv->lcv", w, one_hot) + 0.5
+        accused = (votes[:, :, :1] + weight[:, None] * FALSE_ALARMS) / (votes.sum(2, keepdims=True) + weight[:, None])
+        table = np.concatenate([accused, (1 - accused) * votes[:, :, 1:] / votes[:, :, 1:].sum(2, keepdims=True)], 2)
         share = float((w[1].sum() + 1) / (n.sum() + 2))
         score = np.einsum("plv,lcv->pc", one_hot, np.log(table)) + np.log([1 - share, share])
         good = 1 / (1 + np.exp(np.clip(score[:, 0] - score[:, 1], -50, 50)))
