@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import bottomk_dedup
 from .common import table
 from .hnsw import nearest_query
 from .html_density import html_query
@@ -44,6 +45,10 @@ def op5_secret_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_query(table(spark, sf_dir, "documents"))
 
 
+def op6_bottomk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottomk_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_query(table(spark, sf_dir, "embeddings"))
 
@@ -60,5 +65,5 @@ def op10_projection_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_weak_quality, op2_source_mixing, op3_html_density, op4_warc_merge, op5_secret_worklist, op7_hnsw, op8_piece_table, op9_url_reputation, op10_projection_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_weak_quality, op2_source_mixing, op3_html_density, op4_warc_merge, op5_secret_worklist, op6_bottomk_dedup, op7_hnsw, op8_piece_table, op9_url_reputation, op10_projection_dedup)}
 ORACLES: dict[str, str] = {"op2_source_mixing": MIXING_SQL, "op4_warc_merge": WARC_SQL, "op9_url_reputation": URL_SQL}
