@@ -32,7 +32,7 @@ BITS = 32
 WINDOW = 64
 #: Rows of a block of the order, and of a tile of a component.
 BLOCK_ROWS = 2048
-TILE_ROWS = 1024
+TILE_ROWS = 512
 SEED = 20240101
 
 

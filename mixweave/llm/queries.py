@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bottomk_dedup
+from .bottomk_dedup import dedup_query
 from .common import table
 from .hnsw import nearest_query
 from .html_density import html_query
@@ -46,7 +46,7 @@ def op5_secret_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bottomk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bottomk_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return dedup_query(table(spark, sf_dir, "documents"))
 
 
 def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
