@@ -53,9 +53,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share_per
     filled = F.coalesce(F.sum("cap").over(fill.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     left = F.sum("weight").over(fill.rowsBetween(W.currentRow, W.unboundedFollowing))
     level = (F.sum("source_size").over(everything) * share_percent / F.lit(100.0) - filled) / left
-    leveled = caps.withColumn("level", level).withColumn("ok", F.col("level") * F.col("weight") <= F.col("cap"))
-    settled = F.min(F.when(F.col("ok"), F.col("level"))).over(everything)
-    target = F.least(F.col("cap").cast("double"), F.coalesce(settled * F.col("weight"), F.col("cap").cast("double")))
+    leveled = caps.withColumn("level", level)
+    settled = F.max("level").over(everything)  # if the first sources were capped and the others not: at most the true level
+    target = F.least(F.col("cap").cast("double"), settled * F.col("weight"))
     rate = F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(F.lit(0.0))
     return leveled.select("source", "source_size", target.alias("target"), rate.alias("rate"))
 
@@ -100,7 +100,7 @@ WITH sized AS (
   FROM caps WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)
 ), targets AS (
   SELECT source, source_size,
-         least(cap::DOUBLE, coalesce((SELECT min(level) FROM levels WHERE level * weight <= cap) * weight, cap::DOUBLE)) AS target
+         least(cap::DOUBLE, (SELECT max(level) FROM levels) * weight) AS target
   FROM levels
 ), rated AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
