@@ -25,7 +25,8 @@ RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "co.nz", "com.br", "co.in", "co.za", "com.cn")
 MIN_GOOD = 0.5
 Z = 1.6448536269514722
-STRENGTH = (1.0, 1000.0)
+#: Bounds of a prior's weight in pages; the lower one also makes up for a host counting in its domain.
+STRENGTH = (5.0, 1000.0)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -132,7 +133,7 @@ _SHRINK = "(k + {prior} * {m}) / (n + {m})"
 _STRENGTH = """
   SELECT CASE WHEN coalesce(sum(n), 0) = 0 THEN 1000.0
     WHEN (sum(k)/sum(n)::DOUBLE) * (1 - sum(k)/sum(n)::DOUBLE) = 0 OR sum(n) - sum(n*n)/sum(n)::DOUBLE - (count(*) - 1) <= 0 THEN 1000.0
-    ELSE greatest(1.0, least(1000.0, (1 - greatest(rho, 1/1001.0)) / greatest(rho, 1/1001.0))) END AS m
+    ELSE greatest(5.0, least(1000.0, (1 - greatest(rho, 1/1001.0)) / greatest(rho, 1/1001.0))) END AS m
   FROM (SELECT *, (sum(k*k/n::DOUBLE) OVER () - sum(k) OVER () * (sum(k) OVER () / sum(n) OVER ()::DOUBLE) - (count(*) OVER () - 1) * (sum(k) OVER () / sum(n) OVER ()::DOUBLE) * (1 - sum(k) OVER () / sum(n) OVER ()::DOUBLE))
      / nullif((sum(k) OVER () / sum(n) OVER ()::DOUBLE) * (1 - sum(k) OVER () / sum(n) OVER ()::DOUBLE) * (sum(n) OVER () - sum(n*n) OVER () / sum(n) OVER ()::DOUBLE - (count(*) OVER () - 1)), 0) AS rho
     FROM {level} WHERE n > 0) GROUP BY rho
