@@ -7,12 +7,14 @@ its statistics say so, and joined by a shuffle otherwise.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import UNJUDGED, clean, total
 
@@ -148,11 +150,19 @@ def propagate(docs: DataFrame, sampled: Column) -> DataFrame:
 def nearest_centroid(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     """vectors with the id of the centroid of largest inner product, the smallest id of equal ones.
 
-    Centroids are few and bounded (they were fitted); they go along as one array of structs, so the
-    best is found row by row without a join's blow-up.
+    There are as many centroids as were fitted, by configuration; they go along with the task, and a
+    batch of vectors meets them in one matrix product of doubles.
     """
-    from ..functions.columns import inner_product
-
-    packed = centroids.agg(F.sort_array(F.collect_list(F.struct("cluster_id", "centroid"))).alias("all"))
-    scored = F.transform("all", lambda c: F.struct(inner_product(F.col("embedding"), c["centroid"]).alias("score"), (-c["cluster_id"]).alias("neg")))
-    return vectors.crossJoin(F.broadcast(packed)).withColumn("best", F.array_max(scored)).select(*vectors.columns, (-F.col("best.neg")).cast("int").alias("cluster_id"), F.col("best.score").alias("score"))
+    rows = sorted((r["cluster_id"], r["centroid"]) for r in centroids.select("cluster_id", "centroid").collect())
+    ids, matrix = np.array([i for i, _ in rows], np.int32), np.array([c for _, c in rows], float)
+    names = [c for c in vectors.columns if c not in ("cluster_id", "score")]
+    schema = T.StructType([*vectors.select(*names).schema.fields, T.StructField("cluster_id", T.IntegerType()), T.StructField("score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column(names.index("embedding")).flatten().to_numpy(zero_copy_only=False).astype(float)
+            scores = flat.reshape(batch.num_rows, -1) @ matrix.T
+            best = scores.argmax(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids[best]), pa.array(scores[np.arange(len(best)), best])], names=[*names, "cluster_id", "score"])
+
+    return vectors.select(*names).mapInArrow(run, schema)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import DiscoveryConfig
 from ..functions.columns import clean, row_mean
 from .clusters import cluster_info, merge_clusters, nearest_centroid, propagate, prune
-from .selection import hash_sample
+from .selection import hash_sample, ranked
 
 
 class ClusterDiscovery(ABC):
@@ -44,10 +44,9 @@ def quality_tiers(docs: DataFrame, quality: Sequence[str], tiers: int) -> DataFr
     the k-th holds positions from k * n / tiers up to (k + 1) * n / tiers, both rounded down.
     """
     mean = row_mean([clean(F.col(c)) for c in quality]) if quality else F.lit(0.0)
-    order = W.partitionBy("domain").orderBy("_mean", "doc_id")
-    ranked = docs.withColumn("_mean", mean).withColumn("_rn", F.row_number().over(order)).withColumn("_n", F.count("*").over(W.partitionBy("domain")))
-    tier = F.floor((F.col("_rn") * tiers - 1) / F.col("_n"))
-    return ranked.withColumn("cluster_id", F.when(F.col("domain") >= 0, F.col("domain") * tiers + tier).otherwise(F.lit(-1)).cast("int")).drop("_mean", "_rn", "_n")
+    places = ranked(docs.withColumn("_mean", mean), "domain", "_mean")
+    tier = F.floor((F.col("rank") * tiers - 1) / F.col("group_rows"))
+    return places.withColumn("cluster_id", F.when(F.col("domain") >= 0, F.col("domain") * tiers + tier).otherwise(F.lit(-1)).cast("int")).drop("_mean", "rank", "group_rows")
 
 
 def quality_centroids(docs: DataFrame, quality: Sequence[str]) -> DataFrame:

@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 
 #: Document ids of a range.
 RANGE_DOCS = 1 << 16
+#: Parts that a group's values are cut into by quantiles where rows are ranked.
+RANK_PARTS = 1000
+#: The largest sample that is taken by a top-n plan.
+TOP_SAMPLE = 10_000
 FALLBACK_DOCS = 100
 
 
@@ -33,6 +37,26 @@ def prefix_sum(docs: DataFrame, value: str, by: str, order: str = "doc_id", rang
     return joined.withColumn(into, (F.col("_start") + F.col("_in")).cast("long")).drop("_range", "_in", "_by", "_r", "_start")
 
 
+def ranked(docs: DataFrame, by: str, value: str, order: str = "doc_id", parts: int = RANK_PARTS, range_docs: int = RANGE_DOCS) -> DataFrame:
+    """docs with `rank`, from 1 in order of value and then order within the group, and `group_rows`.
+
+    A window per group would be a task per group. Quantiles cut each group's values into parts
+    instead; rows that equal a quantile, of which there may be any number, are cut by ranges of the
+    order key. Parts are counted, the counts get a prefix, and windows run inside a part only.
+    """
+    cuts = docs.groupBy(by).agg(F.array_distinct(F.percentile_approx(value, [i / parts for i in range(1, parts)], 10 * parts)).alias("_cuts"), F.count("*").alias("group_rows"))
+    placed = docs.join(cuts.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
+    tied = F.array_contains("_cuts", F.col(value))
+    part = F.struct(F.size(F.filter("_cuts", lambda c: c <= F.col(value))).alias("p"), (~tied).alias("above"), F.when(tied, F.floor(F.col(order) / range_docs)).otherwise(F.lit(0)).alias("r"))
+    placed = placed.withColumn("_part", part).drop("_cuts")
+    counts = placed.groupBy(by, "_part").agg(F.count("*").alias("_n"))
+    start = F.coalesce(F.sum("_n").over(W.partitionBy(by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col(by).alias("_by"), F.col("_part").alias("_at"), start.alias("_start"))
+    inner = placed.withColumn("_in", F.row_number().over(W.partitionBy(by, "_part").orderBy(value, order)))
+    joined = inner.join(starts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_at")))
+    return joined.withColumn("rank", (F.col("_start") + F.col("_in")).cast("long")).drop("_part", "_in", "_by", "_at", "_start")
+
+
 def budgets(weights: Sequence[float], total: Column) -> Column:
     """An array of budgets, each cut down to whole tokens."""
     return F.array(*[F.floor(F.lit(float(w)) * total).cast("long") for w in weights])
@@ -58,8 +82,23 @@ def select_by_mixture(docs: DataFrame, weights: Sequence[float], target_tokens:
 
 
 def hash_sample(docs: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """min(n, all) rows without replacement: those with the smallest hash of id and seed."""
-    return docs.orderBy(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("doc_id").cast("string"))), "doc_id").limit(n)
+    """min(n, all) rows without replacement: those with the smallest hash of id and seed.
+
+    A large sample is not sorted: hashes are counted by their first digits, and only the bucket in
+    which the sample ends is put in order.
+    """
+    digest = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("doc_id").cast("string")))
+    if n <= TOP_SAMPLE:
+        return docs.orderBy(digest, "doc_id").limit(n)
+    bucketed = docs.withColumn("_bucket", F.substring(digest, 1, 4))
+    before = F.sum("k").over(W.orderBy("_bucket")) - F.col("k")
+    counts = bucketed.groupBy("_bucket").agg(F.count("*").alias("k")).withColumn("before", before)
+    last = counts.where(F.col("before") < n).agg(F.max(F.struct("_bucket", "before")).alias("last")).first()["last"]
+    if last is None:
+        return docs.limit(0)
+    whole = bucketed.where(F.col("_bucket") < last["_bucket"])
+    rest = bucketed.where(F.col("_bucket") == last["_bucket"]).orderBy(digest, "doc_id").limit(n - last["before"])
+    return whole.unionByName(rest).drop("_bucket")
 
 
 def mixture_stats(docs: DataFrame, selected: DataFrame, weights: Sequence[float]) -> DataFrame:

@@ -118,3 +118,21 @@ def test_registries_refuse_unknown_names():
         filters.get_filter(FilterConfig(method="?"))
     with pytest.raises(ValueError):
         discovery.get_discovery(DiscoveryConfig(method="?"))
+
+
+@pytest.mark.parametrize(("parts", "width"), [(2, 1), (5, 3), (1000, 1 << 16)])
+def test_ranks_in_parts(spark, parts, width):
+    rows = [(i, i % 2, float(v)) for i, v in enumerate([3, 1, 1, 1, 2, 1, 5, 1, 1, 4, 1, 2, 2, 9, 1, 1, 0, 1])]
+    out = selection.ranked(spark.createDataFrame(rows, "doc_id long, g int, v double"), "g", "v", parts=parts, range_docs=width).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        mine = sorted((v, i) for i, g, v in rows if g == r["g"])
+        assert (r["rank"], r["group_rows"]) == (mine.index((r["v"], r["doc_id"])) + 1, len(mine))
+
+
+@pytest.mark.parametrize("n", [0, 1, 37, 500, 9999])
+def test_large_samples_equal_small_ones(spark, n, monkeypatch):
+    docs = spark.range(500).withColumnRenamed("id", "doc_id")
+    by_sort = {r[0] for r in selection.hash_sample(docs, n).collect()}
+    monkeypatch.setattr(selection, "TOP_SAMPLE", -1)
+    assert {r[0] for r in selection.hash_sample(docs, n).collect()} == by_sort and len(by_sort) == min(n, 500)
