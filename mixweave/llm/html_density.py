@@ -22,12 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices
+
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td template tfoot th thead title tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - frozenset("body head html td th tr tbody thead tfoot option optgroup legend title template".split())
 #: An end tag that is implied: a start tag of the key closes an open one of the values, within the scope.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "optgroup"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"})}
@@ -37,10 +40,12 @@ SCOPE = frozenset("html body table td th caption article section main div templa
 CUT_ELEMENTS = frozenset("head script style noscript template nav footer aside form button select input textarea iframe object embed svg canvas audio video dialog menu title xmp noembed noframes datalist map".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tablist status".split())
 _CUT_WORD = re.compile(
-    r"(?:ads?|adv|advert\w*|adsense|dfp|banner|sponsor\w*|promo\w*|comments?|commentlist|discussion|disqus|replies|reply|respond|responses|sidebar\w*|side|rail|nav\w*|menus?|breadcrumbs?|header|masthead|footer|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|signup|paywall|share|sharing|social|related|recommend\w*|widgets?|toolbar|pager|pagination|skip|login|search|copyright|disclaimer|outbrain|taboola|feedback|ratings?|toc)\Z"
+    r"(?:ads?|adv|advert\w*|adsense|dfp|\w*banner|sponsor\w*|promo\w*|comments?|commentlist|\w+comments?|discussion|disqus|replies|reply|respond|responses|\w*sidebar\w*|side|rail|nav\w*|menus?|breadcrumbs?|header|masthead|footer|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|signup|paywall|share|sharing|social|related|recommend\w*|widgets?|toolbar|pager|pagination|skip|login|search|copyright|disclaimer|outbrain|taboola|feedback|ratings?|toc)\Z"
 )
 _NOT_OWN = re.compile(r"(?:has|with|no|without|is)\Z")
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|style|aria-hidden|aria-label)(?![\w-])(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: A heading that opens reader comments.
+_COMMENTS = re.compile(r"(?:\d+\s+)?(?:reader\s+|user\s+)?(?:comments?|responses|replies)(?:\s*\(?\d+\)?)?:?\Z|leave a (?:reply|comment)\Z", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
@@ -69,9 +74,9 @@ def _is_cut(name: str, attrs: str, in_article: bool) -> bool:
         return False
     if found.get("role", "").lower() in CUT_ROLES:
         return True
-    for name_token in (found.get("class", "") + " " + found.get("id", "")).split():
+    for name_token in " ".join(found.get(k, "") for k in ("class", "id", "aria-label")).split():
         words = [w.lower() for w in _WORDS.findall(name_token)]
-        if words and not _NOT_OWN.match(words[0]) and any(_CUT_WORD.match(w) for w in words):
+        if words and not _NOT_OWN.match(words[0]) and any(_CUT_WORD.match(w) and not (in_article and w == "header") for w in words):
             return name != "article" or any(w.startswith(("comment", "repl", "respon", "promo", "ad", "sponsor", "related")) for w in words)
     return False
 
@@ -171,8 +176,16 @@ def measure(root: Node) -> None:
         node.top = max([node, *(c.top for c in node.children if not isinstance(c, str) and not c.cut)], key=lambda x: x.total)
 
 
+def cut_comments(root: Node) -> None:
+    """Cut sections and divisions that a heading names as reader comments."""
+    for node in list(_walk(root)):
+        if node.name in HEADINGS and node.parent is not None and node.parent.name in ("section", "div") and _COMMENTS.match(" ".join(blocks(node))):
+            node.parent.cut = True
+
+
 def chosen(root: Node) -> list[Node]:
     """The subtree with the largest density sum and the siblings of its path that reach the threshold."""
+    cut_comments(root)
     measure(root)
     seed = root.top
     article = next((x for x in _walk(root) if x.name in ("main", "article")), None)
@@ -183,6 +196,10 @@ def chosen(root: Node) -> list[Node]:
         while len(path) > 1 and path[0] is not article and article in path:
             path.pop(0)  # the article's own element holds whole what was found inside it
         if path[0] is article:
+            if article.name == "main":  # what is beside the article in it goes if it is mostly links
+                for c in article.children:
+                    if not isinstance(c, str) and not c.cut and c.link_chars * 2 > c.chars and c is not seed and seed not in _walk(c):
+                        c.cut = True
             return [article]
     threshold = min(x.density for x in path)
     taken, on = [], set(path)
@@ -253,7 +270,7 @@ def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:
     schema = T.StructType([*pages.select(*kept).schema.fields, T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = pa.array([main_text(p) for p in batch.column(len(kept)).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names=[*kept, "text"])
 

@@ -31,6 +31,16 @@ def test_an_article_without_semantic_elements_is_found_by_density():
     assert main_text(page(body)) == "\n".join(x.strip() for x in (LONG * 3, LONG * 2, LONG))
 
 
+def test_what_stands_beside_the_article():
+    body = (
+        f'<main><h1>Headline</h1><article><div class="post-header"><h2>Part</h2></div><p>{LONG}</p><p>{LONG}</p></article>'
+        '<div><a href="/1">Read this next</a> <a href="/2">And that after it</a></div>'
+        '<section><h2>3 Comments</h2><p>A reader says something of about the length of a paragraph here.</p></section></main>'
+        '<div class="pageBanner">An unasked banner</div><div aria-label="Breadcrumb">Home</div><div hidden>Hidden</div><div style="display: none">Not shown</div>'
+    )
+    assert main_text(page(body)).split("\n") == ["Headline", "Part", LONG.strip(), LONG.strip()]
+
+
 def test_markup_as_browsers_read_it():
     assert main_text("<article><p>a<p>b<br>c<i>d</i>e<p>&eacute;&#233;&#xe9; &lt;p&gt;</article></div>") == "a\nb cde\néé\u00e9 <p>"
     assert main_text("<article><h1>x</h1><p><b>bold<p>on</b> end</p></article>") == "x\nbold\non end"
