@@ -101,3 +101,8 @@ def validation_report(first: DataFrame, second: DataFrame, names: tuple[str, str
 def timing_report(timings: DataFrame) -> DataFrame:
     """(section, total, average, runs) from (section, seconds)."""
     return timings.groupBy("section").agg(F.sum("seconds").alias("total"), F.avg("seconds").alias("average"), F.count("*").alias("runs"))
+
+
+def shard_index_json(offsets: DataFrame) -> str:
+    """The table of files (shard_file, rows, start, end) as JSON, a record per file."""
+    return json.dumps([r.asDict() for r in offsets.orderBy("start", "shard_file").collect()], indent=2)

@@ -90,3 +90,20 @@ def test_model_sizes():
     assert models.model_info(28) is None and models.model_info(24)["n_embd"] == 1536
     assert models.model_info(14, {"model_config": {"n_layer": 14}})["n_head"] == 7
     assert models.training_iterations(None, None, None) == 1000 and models.training_iterations(7, 2.0, 10) == 7
+
+
+@pytest.mark.parametrize("at_once", [1, 3])
+def test_batches_keep_order_and_survive_failures(at_once):
+    from mixweave.operators import evaluation
+
+    def experiment(i, w):
+        if i == 2:
+            raise RuntimeError("no device")
+        return {"a": float(w[0])}, {"a": 1.0}
+
+    kept = []
+    out = evaluation.evaluator(experiment, at_once, kept.append)([0, 1, 2, 3], np.eye(4))
+    assert [a for a, _ in out] == [{"a": 1.0}, {"a": 0.0}, {}, {"a": 0.0}]
+    assert [r.config_id for r in kept] == [0, 1, 2, 3] and "no device" in kept[2].error
+    assert evaluation.ExperimentResult.from_json(kept[0].to_json()) == kept[0]
+    assert evaluation.run_target(experiment, [0.5, 0.5]).per_task_accuracies == {"a": 0.5}

@@ -31,6 +31,7 @@ def test_ids_follow_file_names_and_rows(spark, folder):
     assert [r["doc_id"] for r in docs] == list(range(7))
     assert shards.first_shard_rows(rows) == 4
     assert {r["shard"] for r in shards.shard_offsets(rows).collect()} == {2, 10}
+    assert [f["start"] for f in json.loads(sinks.shard_index_json(shards.shard_offsets(rows)))] == [0, 4]
 
 
 def test_missing_shards_are_an_error(spark, tmp_path):
