@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A staged table is broadcast only up to both of these.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 8 << 20
+SLICE_ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -81,5 +84,12 @@ def join_dimension(facts: DataFrame, dim: DataFrame, key: str, salt_by: Column,
     return left.join(right, on, "left").drop("_dim_key", "_dim_salt", "_salt")
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices, so that a worker holds few rows as Python objects at a time."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage, unstage
+from .common import slices, stage, unstage
 
 #: Documents that the scorer is fitted on: about so many, chosen by a hash. Counts cover all.
 FIT_DOCS = 4000
@@ -106,7 +106,7 @@ def vote_docs(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
     schema = "votes string, at array<int>, vals array<float>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             votes, at, values = [], [], []
             for text, pick in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = Signals(text or "")
@@ -151,7 +151,7 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], wanted: np.ndarray, l2
         x[r, at] = values
     x[:, -1] = 1.0
     w = look = np.zeros(DIMS + 1, np.float32)
-    step = 4.0 / max(float((x * x).sum(1).max()), 1.0)
+    step = 4.0 / max(float(np.einsum("ij,ij->i", x, x).max()), 1.0)
     for k in range(FIT_ROUNDS):
         p = 1 / (1 + np.exp(-np.clip(x @ look, -30, 30)))
         new = look - step * (x.T @ (p - wanted) / len(rows) + l2 * look)
@@ -191,7 +191,7 @@ def classify(docs: DataFrame, min_score: float = MIN_SCORE, fit_docs: int = FIT_
     schema = T.StructType([*docs.schema.fields, T.StructField("votes", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("keep", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             votes, scores = [], []
             for text in batch.column(at).to_pylist():
                 s = Signals(text or "")
