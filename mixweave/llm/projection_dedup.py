@@ -91,15 +91,15 @@ def pass_links(classes: DataFrame, number: int, min_cosine: float, window: int)
     order = with_codes(classes, number).repartitionByRange("label", "dim", "code", "cls").sortWithinPartitions("label", "dim", "code", "cls")
     placed = stage(order.withColumn("at", F.monotonically_increasing_id()), "projection-order")
     part, pos = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
-    sizes = sorted(placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())  # a row per partition
-    starts, total = {}, 0
-    for r in sizes:
-        starts[r["part"]] = total
-        total += r["n"]
-    if not starts:
+    sizes = {r["part"]: r["n"] for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}  # a row per partition
+    if not sizes:
         return placed.select(F.col("cls").alias("a"), F.col("cls").alias("b"))
-    offsets = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv])
-    ranked = placed.select("cls", "label", "dim", "embedding", (offsets[part] + pos).alias("rank"))
+    starts, total = [], 0
+    for k in range(max(sizes) + 1):
+        starts.append(total)
+        total += sizes.get(k, 0)
+    offset = F.element_at(F.array(*[F.lit(x) for x in starts]), (part + 1).cast("int"))
+    ranked = placed.select("cls", "label", "dim", "embedding", (offset + pos).alias("rank"))
     block = F.floor(F.col("rank") / BLOCK_ROWS)
     again = F.when(F.col("rank") % BLOCK_ROWS >= BLOCK_ROWS - window, F.array(block, block + 1)).otherwise(F.array(block))
     dealt = ranked.withColumn("block", F.explode(again))

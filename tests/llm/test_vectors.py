@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mixweave.llm import hnsw
 from mixweave.llm import projection_dedup as P
@@ -10,8 +11,6 @@ NAN, INF = float("nan"), float("inf")
 def frame(spark, rows, extra=False):
     df = spark.createDataFrame([(i, None if v is None else [None if x is None else float(x) for x in v], label) for i, v, label in rows], "vec_id long, embedding array<float>, label int")
     if extra:
-        from pyspark.sql import functions as F
-
         for name in ("cls", "code", "rows", "component", "kept", "rank", "score", "query_id"):
             df = df.withColumn(name, F.lit("x"))
     return df
@@ -110,7 +109,7 @@ def test_inner_products_of_unequal_lengths_and_copies():
 
 
 def test_edges_of_search(spark):
-    out = hnsw.nearest(frame(spark, EDGES, extra=True), frame(spark, EDGES)["vec_id"] < 3).orderBy("query_id", "rank").collect()
+    out = hnsw.nearest(frame(spark, EDGES, extra=True), F.col("vec_id") < 3).orderBy("query_id", "rank").collect()
     best = {q: [r["vec_id"] for r in out if r["query_id"] == q] for q in (1, 2)}
     assert best == {1: [2, 3, 4, 12, 20], 2: [1, 3, 4, 12, 20]}
     assert [r["rank"] for r in out if r["query_id"] == 1] == [1, 2, 3, 4, 5]
@@ -119,7 +118,7 @@ def test_edges_of_search(spark):
 
 def test_passes_of_queries(spark, monkeypatch):
     rows = clustered(2, groups=4, size=30)
-    once = hnsw.nearest(frame(spark, rows), frame(spark, rows)["vec_id"] % 5 == 0).collect()
+    once = hnsw.nearest(frame(spark, rows), F.col("vec_id") % 5 == 0).collect()
     monkeypatch.setattr(hnsw, "PASS_BYTES", 1000)
-    again = hnsw.nearest(frame(spark, rows), frame(spark, rows)["vec_id"] % 5 == 0).collect()
+    again = hnsw.nearest(frame(spark, rows), F.col("vec_id") % 5 == 0).collect()
     assert sorted(once) == sorted(again) and len(once) == 24 * 20
