@@ -120,28 +120,27 @@ def vote_docs(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
 
 
 def fit_votes(counts: dict[str, int], rounds: int = EM_ROUNDS) -> tuple[np.ndarray, float, dict[str, float]]:
-    """EM over vote patterns: P(vote | class) as [labeller, class, vote], the share of good
-    documents and each pattern's posterior of good.
+    """EM over vote patterns: how often each labeller accuses, as [labeller, class] with bad first,
+    the share of good documents, and each pattern's posterior of good.
 
+    An abstention says nothing, so that a document too short for a labeller isn't held against it.
     A prior that outweighs the corpus holds that labellers seldom accuse good documents; without it,
     EM may call the commonest kind of bad document good.
     """
     patterns = sorted(counts)
     n = np.array([counts[p] for p in patterns], float)
-    v = np.array([["-0+".index(x) for x in p] for p in patterns])
-    one_hot = np.eye(3)[v]  # pattern, labeller, vote
+    accuses, clears = (np.array([[x == k for x in p] for p in patterns], float) for k in "-+")
     weight = np.array([0.0, PRIOR_WEIGHT * n.sum()])  # of the prior, for bad and good documents
-    good = np.where((v == 0).any(1), 0.1, 0.9)
-    table, share = np.empty((0,)), 0.5
+    good = np.where(accuses.any(1), 0.1, 0.9)
+    rate, share = np.empty((0, 2)), 0.5
     for _ in range(rounds):
         w = np.stack([n * (1 - good), n * good])  # class, pattern
-        votes = np.einsum("cp,plv->lcv", w, one_hot) + 0.5
-        accused = (votes[:, :, :1] + weight[:, None] * FALSE_ALARMS) / (votes.sum(2, keepdims=True) + weight[:, None])
-        table = np.concatenate([accused, (1 - accused) * votes[:, :, 1:] / votes[:, :, 1:].sum(2, keepdims=True)], 2)
+        bad_votes, all_votes = (w @ accuses).T, (w @ (accuses + clears)).T
+        rate = (bad_votes + 0.5 + weight * FALSE_ALARMS) / (all_votes + 1 + weight)
         share = float((w[1].sum() + 1) / (n.sum() + 2))
-        score = np.einsum("plv,lcv->pc", one_hot, np.log(table)) + np.log([1 - share, share])
+        score = accuses @ np.log(rate) + clears @ np.log(1 - rate) + np.log([1 - share, share])
         good = 1 / (1 + np.exp(np.clip(score[:, 0] - score[:, 1], -50, 50)))
-    return table, share, dict(zip(patterns, good.tolist(), strict=True))
+    return rate, share, dict(zip(patterns, good.tolist(), strict=True))
 
 
 def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], wanted: np.ndarray, l2: float = 1e-4) -> np.ndarray:

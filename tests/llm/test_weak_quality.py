@@ -18,9 +18,14 @@ def test_em_finds_accuracies():
         good = rng.random() < 0.8
         votes = "".join(("+" if rng.random() < 0.9 else "0") if good else ("-" if rng.random() < p else "+") for p in (0.9, 0.7, 0.8))
         counts[votes] = counts.get(votes, 0) + 1
-    table, share, posterior = Q.fit_votes(counts)
+    rate, share, posterior = Q.fit_votes(counts)
     assert abs(share - 0.8) < 0.05 and posterior["+++"] > 0.9 and posterior["---"] < 0.01
-    assert np.all(np.abs(table[:, 0, 0] - [0.9, 0.7, 0.8]) < 0.1)
+    assert np.all(np.abs(rate[:, 0] - [0.9, 0.7, 0.8]) < 0.1)
+
+
+def test_abstentions_are_no_evidence():
+    posterior = Q.fit_votes({"+++": 900, "+00": 20, "000": 5, "--+": 60, "-++": 15})[2]
+    assert posterior["+00"] > 0.9 and posterior["000"] > 0.5 and posterior["--+"] < 0.01
 
 
 def test_a_corpus_without_bad_votes_is_kept(docs_of):
