@@ -22,11 +22,10 @@ def connected_components(links: DataFrame, name: str) -> DataFrame:
         up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
         grand = parents.join(up, "parent").select("node", "parent", "grand")
         near = both.join(grand.select(F.col("node").alias("b"), "grand"), "b").groupBy(F.col("a").alias("node")).agg(F.min("grand").alias("near"))
-        lower = stage(grand.join(near, "node").select("node", "parent", F.least("grand", "near").alias("low")), f"{name}-low")
-        hooked = lower.select("node", "low").union(lower.select(F.col("parent").alias("node"), "low"))
+        lower = grand.join(near, "node").select("node", "parent", F.least("grand", "near").alias("low"))
+        hooked = lower.select(F.explode(F.array(F.struct("node", "low"), F.struct(F.col("parent").alias("node"), "low"))).alias("h")).select("h.node", "h.low")
         after = stage(hooked.groupBy("node").agg(F.min("low").alias("parent")), f"{name}-parents")
         moved = after.join(parents, (after["node"] == parents["node"]) & (after["parent"] == parents["parent"]), "left_anti").limit(1).count()
-        unstage(lower)
         unstage(parents)
         parents = after
         if not moved:
