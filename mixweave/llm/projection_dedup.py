@@ -3,15 +3,16 @@
 Vectors with equal label and components form a class, and classes are compared. In each pass,
 classes are ordered by label and then by the concatenated signs of random projections; each is
 compared with a bounded number of neighbours before it, and what is verified links. Links of all
-passes unite to components. As a window bounds partners, the pairs inside each component are then
-compared exactly in tiles, so that links are counted whole however many partners a vector has.
+passes unite to components. As a window bounds partners, all pairs of classes with equal label and
+length are then compared exactly in tiles: components that a missed pair joins are united, and links
+are counted whole. The passes leave few components for that to unite; the result is that of all pairs.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component, and
 those with a null label, link with nothing; equal rows link with each other, also where ids repeat;
 a row with a null id takes part, but never names a component, and is not kept; vectors of different
 lengths don't link; an empty table gives an empty table; other columns are ignored.
 
-A component of c distinct vectors costs c * c / 2 comparisons, as its links are counted one by one.
+A label of n distinct vectors costs n * n / 2 comparisons.
 """
 
 from __future__ import annotations
@@ -30,9 +31,11 @@ MIN_COSINE = 0.98
 PASSES = 8
 BITS = 32
 WINDOW = 64
-#: Rows of a block of the order, and of a tile of a component.
+#: Rows of a block of the order, and of a tile that are compared at once.
 BLOCK_ROWS = 2048
 TILE_ROWS = 512
+#: Bytes of a tile's vectors.
+TILE_BYTES = 2 << 20
 SEED = 20240101
 
 
@@ -123,29 +126,55 @@ def pass_links(classes: DataFrame, number: int, min_cosine: float, window: int)
     return links
 
 
-def count_links(members: DataFrame, min_cosine: float) -> DataFrame:
-    """(cls, linked): for classes (cls, component, embedding, rows), the rows of other classes of
-    the component that each links with, compared in pairs of tiles."""
-    sizes = stage(members.groupBy("component").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("tiles")), "projection-tiles")
-    tiled = join_dimension(members, sizes, "component", F.col("cls")).withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
+def compare_all(members: DataFrame, min_cosine: float) -> DataFrame:
+    """All pairs of the classes (cls, label, dim, component, embedding, rows) with equal label and dim.
+
+    Rows (a, null, linked): class a links with that many rows of other classes in one pair of tiles;
+    rows (a, b, null): components a and b are joined by a link. A tile is packed in one row.
+    """
+    keys = ("label", "dim")
+    sizes = stage(members.groupBy(*keys).agg(F.ceil(F.count("*") * F.col("dim") * 4 / TILE_BYTES).cast("int").alias("tiles")), "projection-tiles")
+    tiled = members.join(F.broadcast(sizes), [*keys]).withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
+
+    def pack(key: tuple, t: pa.Table) -> pa.Table:
+        one = {c: pa.array([t[c].to_numpy()]) for c in ("cls", "component", "rows")}
+        return pa.table({c: t[c].slice(0, 1) for c in ("label", "dim", "tiles", "tile")} | one | {"values": pa.array([t["embedding"].combine_chunks().flatten()], pa.list_(pa.float32()))})
+
+    schema = "label int, dim int, tiles int, tile int, cls array<long>, component array<long>, rows array<long>, values array<float>"
+    columns = ("label", "dim", "tiles", "tile", "cls", "component", "rows", "embedding")
+    packed = stage(tiled.select(*columns).groupBy(*keys, "tile").applyInArrow(pack, schema), "projection-packed")
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    dealt = tiled.withColumn("other", other).select("component", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "cls", "embedding", "rows")
+    dealt = packed.withColumn("other", other).withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
-        tile, cls, rows = (t[c].to_numpy() for c in ("tile", "cls", "rows"))
-        x = _unit(_matrix(t["embedding"].combine_chunks()))
-        linked = np.zeros(len(cls), np.int64)
-        left, right = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
-        near = x[left] @ x[right].T >= min_cosine
-        if i == j:
-            np.fill_diagonal(near, False)
-        else:
-            linked[right] += rows[left] @ near
-        linked[left] += near @ rows[right]
-        return pa.table({"cls": cls, "linked": linked})
-
-    return dealt.groupBy("component", "i", "j").applyInArrow(run, "cls long, linked long").groupBy("cls").agg(F.sum("linked").alias("linked"))
+        t = t.sort_by("tile").combine_chunks()
+        dim, same = key[1].as_py(), key[2] == key[3]
+        cls, component, rows = ([x.values.to_numpy() for x in t[c]] for c in ("cls", "component", "rows"))
+        x = [_unit(v.values.to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)) for v in t["values"]]
+        linked = [np.zeros(len(c), np.int64) for c in cls]
+        joined = np.empty((0, 2), np.int64)
+        for first in range(0, len(cls[0]) if len(cls) > (not same) else 0, TILE_ROWS):
+            part = slice(first, first + TILE_ROWS)
+            near = x[0][part] @ x[-1].T >= min_cosine
+            if same:
+                near[np.arange(len(near)), np.arange(first, first + len(near))] = False
+            left, right = np.nonzero(near)
+            linked[0][part] += np.bincount(left, rows[-1][right], len(near)).astype(np.int64)
+            if not same:
+                linked[1] += np.bincount(right, rows[0][part][left], len(cls[1])).astype(np.int64)
+            pairs = np.stack([component[0][part][left], component[-1][right]], 1)
+            joined = np.unique(np.concatenate([joined, pairs[pairs[:, 0] != pairs[:, 1]]]), axis=0)
+        names, at = np.unique(joined, return_inverse=True)
+        joined = joined[_forest(at.reshape(-1, 2), len(names))]
+        cls, linked = np.concatenate(cls), np.concatenate(linked)
+        cls, linked = cls[linked > 0], linked[linked > 0]
+        a = pa.array(np.concatenate([cls, joined[:, 0]]))
+        b = pa.concat_arrays([pa.nulls(len(cls), pa.int64()), pa.array(joined[:, 1])])
+        return pa.table({"a": a, "b": b, "linked": pa.concat_arrays([pa.array(linked), pa.nulls(len(joined), pa.int64())])})
+
+    compared = stage(dealt.select(*keys, "i", "j", "tile", "cls", "component", "rows", "values").groupBy(*keys, "i", "j").applyInArrow(run, "a long, b long, linked long"), "projection-compared")
+    unstage(packed)
+    return compared
 
 
 def near_duplicates(vectors: DataFrame, min_cosine: float = MIN_COSINE, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
@@ -159,11 +188,14 @@ def near_duplicates(vectors: DataFrame, min_cosine: float = MIN_COSINE, passes:
         found = pass_links(classes, number, min_cosine, window)
         links = found if links is None else links.union(found)
     parts = connected_components(links, "projection").withColumnRenamed("node", "cls")
-    members = stage(classes.join(parts, "cls"), "projection-members")
-    firsts = members.groupBy("component").agg(F.min("first").alias("component_first"))
-    counted = members.drop("embedding").join(count_links(members, min_cosine), "cls").join(stage(firsts, "projection-firsts"), "component")
-    single = classes.where("rows > 1").join(members.select("cls"), "cls", "left_anti").select("cls", F.lit(0).cast("long").alias("linked"), "rows", F.col("first").alias("component_first"))
-    result = stage(counted.select("cls", "linked", "rows", "component_first").union(single).select("cls", (F.col("linked") + F.col("rows") - 1).alias("links"), "component_first"), "projection-result")
+    members = stage(classes.join(parts, "cls", "left").withColumn("component", F.coalesce("component", "cls")).withColumn("dim", F.size("embedding")), "projection-members")
+    compared = compare_all(members, min_cosine)
+    merged = connected_components(compared.select("a", "b"), "projection-merged").select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    counts = compared.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("linked").alias("linked"))
+    counted = members.drop("embedding").join(counts, "cls", "left").withColumn("links", F.coalesce("linked", F.lit(0)) + F.col("rows") - 1).where("links > 0")
+    counted = stage(counted.join(merged, "component", "left").select("cls", "links", "first", F.coalesce("whole", "component").alias("component")), "projection-counted")
+    firsts = counted.groupBy("component").agg(F.min("first").alias("component_first"))
+    result = stage(counted.join(stage(firsts, "projection-firsts"), "component").select("cls", "links", "component_first"), "projection-result")
     judged = join_dimension(rows.select("vec_id", "cls"), result, "cls", F.col("vec_id"))
     component = F.when(F.col("links").isNull(), F.col("vec_id")).otherwise(F.col("component_first"))
     return judged.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

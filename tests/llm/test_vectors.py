@@ -61,6 +61,15 @@ def test_links_equal_all_pairs(spark, small, monkeypatch):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in out.values())
 
 
+def test_pairs_that_no_window_meets(spark, monkeypatch):
+    monkeypatch.setattr(P, "TILE_BYTES", 24 * 4 * 30, raising=False)  # several tiles of a label
+    rows = clustered(3)
+    links, component = brute_links(rows)
+    out = {r["vec_id"]: r for r in P.near_duplicates(frame(spark, rows), passes=1, window=1).collect()}
+    assert {i: r["n_links"] for i, r in out.items()} == links
+    assert {i: r["component_id"] for i, r in out.items()} == component
+
+
 EDGES = [(1, [1, 0], 0), (2, [1, 0], 0), (3, [1, 0], 1), (4, [1, 0], None), (5, None, 0), (6, [], 0), (7, [0, 0], 0), (8, [NAN, 1], 0), (9, [INF, 1], 0), (10, [None, 1], 0), (11, [1, 0, 0], 0), (12, [1e-30, 0], 0), (None, [1, 0], 0), (20, [0, 1], 1), (20, [0, 1], 1)]
 
 
