@@ -46,6 +46,7 @@ _NOT_OWN = re.compile(r"(?:has|with|no|without|is)\Z")
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|style|aria-hidden|aria-label)(?![\w-])(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 #: A heading that opens reader comments.
 _COMMENTS = re.compile(r"(?:\d+\s+)?(?:reader\s+|user\s+)?(?:comments?|responses|replies)(?:\s*\(?\d+\)?)?:?\Z|leave a (?:reply|comment)\Z", re.I)
+_AMBIGUOUS_TITLE = re.compile(r"(?:responses|replies):?\Z", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
@@ -177,10 +178,35 @@ def measure(root: Node) -> None:
 
 
 def cut_comments(root: Node) -> None:
-    """Cut sections and divisions that a heading names as reader comments."""
+    """Cut what a heading in a section or division names as reader comments.
+
+    A section that the heading opens goes whole. Otherwise the heading goes, and its siblings after
+    it up to the next heading of its rank or above. In an article, bare 'Responses' or 'Replies'
+    may be a heading of the text, and stays.
+    """
     for node in list(_walk(root)):
-        if node.name in HEADINGS and node.parent is not None and node.parent.name in ("section", "div") and _COMMENTS.match(" ".join(blocks(node))):
+        if node.name not in HEADINGS or node.parent is None or node.parent.name not in ("section", "div"):
+            continue
+        title = " ".join(blocks(node))
+        if not _COMMENTS.match(title) or _AMBIGUOUS_TITLE.match(title) and _inside(node, "article"):
+            continue
+        siblings = node.parent.children
+        at = next(i for i, c in enumerate(siblings) if c is node)
+        if node.parent.name == "section" and not any(c.strip() if isinstance(c, str) else blocks(c) for c in siblings[:at]):
             node.parent.cut = True
+            continue
+        end = next((i for i in range(at + 1, len(siblings)) if not isinstance(c := siblings[i], str) and c.name in HEADINGS and c.name <= node.name), len(siblings))
+        for c in siblings[at:end]:
+            if not isinstance(c, str):
+                c.cut = True
+        siblings[at:end] = [c for c in siblings[at:end] if not isinstance(c, str)]
+
+
+def _inside(node: Node, name: str) -> bool:
+    while (node := node.parent) is not None:
+        if node.name == name:
+            return True
+    return False
 
 
 def chosen(root: Node) -> list[Node]:

@@ -41,6 +41,17 @@ def test_what_stands_beside_the_article():
     assert main_text(page(body)).split("\n") == ["Headline", "Part", LONG.strip(), LONG.strip()]
 
 
+def test_a_comments_heading_cuts_only_what_it_heads():
+    flat = f"<div id='content'><h1>Title</h1><p>{LONG}</p><p>{LONG}</p><h2>Comments</h2>loose<ul><li>A reader's remark.</li></ul><h3>Anna</h3><p>Her remark.</p></div>"
+    assert main_text(page(flat)).split("\n") == ["Title", LONG.strip(), LONG.strip()]
+    after = f"<article><div><h2>Comments</h2><p>A remark.</p><h2>Method</h2><p>{LONG}</p></div></article>"
+    assert main_text(page(after)).split("\n") == ["Method", LONG.strip()]
+    for title in ("Responses", "Replies"):
+        section = f"<article><h1>Title</h1><p>{LONG}</p><section><h2>{title}</h2><p>{LONG}</p></section></article>"
+        assert main_text(page(section)).split("\n") == ["Title", LONG.strip(), title, LONG.strip()]
+    assert main_text(page(f"<article><p>{LONG}</p><section><h2>2 replies</h2><p>A remark.</p></section></article>")) == LONG.strip()
+
+
 def test_markup_as_browsers_read_it():
     assert main_text("<article><p>a<p>b<br>c<i>d</i>e<p>&eacute;&#233;&#xe9; &lt;p&gt;</article></div>") == "a\nb cde\néé\u00e9 <p>"
     assert main_text("<article><h1>x</h1><p><b>bold<p>on</b> end</p></article>") == "x\nbold\non end"
