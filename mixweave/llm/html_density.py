@@ -1,9 +1,10 @@
 """Main text of web pages by composite text density.
 
 A page is parsed into a DOM with HTML's implied end tags. Nodes that are boilerplate by element,
-role, class or id are cut. Each other node gets its characters per tag, adjusted by its links, and
-the sum of its children's densities. The node with the largest sum is the seed; the smallest density
-on its path to the body is the threshold, and siblings of that path that reach it are kept as well.
+role, class or id are cut; in the text, ambiguous names only if what they hold confirms it. Each
+other node gets its characters per tag, adjusted by its links, and the sum of its children's
+densities. The node with the largest sum is the seed; the smallest density on its path to the body
+is the threshold, and siblings of that path that reach it are kept as well.
 
 Defined results: a null or empty page has an empty text; pages without body tags, with unclosed
 tags or stray end tags are read as browsers do; white space inside a block becomes one space, <br>
@@ -42,10 +43,16 @@ CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog
 _CUT_WORD = re.compile(
     r"(?:ads?|adv|advert\w*|adsense|dfp|\w*banner|sponsor\w*|promo\w*|comments?|commentlist|\w+comments?|discussion|disqus|replies|reply|respond|responses|\w*sidebar\w*|side|rail|nav\w*|menus?|breadcrumbs?|header|masthead|footer|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|signup|paywall|share|sharing|social|related|recommend\w*|widgets?|toolbar|pager|pagination|skip|login|search|copyright|disclaimer|outbrain|taboola|feedback|ratings?|toc)\Z"
 )
+#: Of those, words that name ordinary parts of a text as well, and names that nothing else bears.
+_AMBIGUOUS = re.compile(r"(?:discussion|replies|reply|respond|responses|side|rail|notices?|alerts?|share|sharing|social|related|recommend\w*|skip|search|copyright|disclaimer|feedback|ratings?|nav(?!bar|igation|s?\Z)\w+)\Z")
+_VENDOR = re.compile(r"(?:adsense|dfp|commentlist|disqus|gdpr|outbrain|taboola)\Z")
+#: Characters of text that a class of an ambiguous name needs to count as part of the article.
+PROSE_CHARS = 80
 _NOT_OWN = re.compile(r"(?:has|with|no|without|is)\Z")
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|style|aria-hidden|aria-label)(?![\w-])(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 #: A heading that opens reader comments.
 _COMMENTS = re.compile(r"(?:\d+\s+)?(?:reader\s+|user\s+)?(?:comments?|responses|replies)(?:\s*\(?\d+\)?)?:?\Z|leave a (?:reply|comment)\Z", re.I)
+_ARTICLE = re.compile(r"<(?:article|main)\b", re.I)
 _AMBIGUOUS_TITLE = re.compile(r"(?:responses|replies):?\Z", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
@@ -53,15 +60,18 @@ _TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA
 
 
 class Node:
-    __slots__ = ("name", "children", "cut", "chars", "tags", "link_chars", "link_tags", "density", "total", "top", "parent")
+    __slots__ = ("name", "children", "cut", "chars", "tags", "link_chars", "link_tags", "density", "total", "top", "parent", "suspect")
 
     def __init__(self, name: str, parent: Node | None, cut: bool = False):
         self.name, self.parent, self.cut = name, parent, cut
         self.children: list[Node | str] = []
         self.top: Node = self
+        self.suspect = ""
 
 
-def _is_cut(name: str, attrs: str, in_article: bool) -> bool:
+def _is_cut(name: str, attrs: str, in_article: bool, in_text: bool) -> bool | str:
+    """Whether an element is cut. In the text, 'class' or 'id' if its class, or its id or label, only
+    suggests it, so that what it holds has to confirm it."""
     if name in CUT_ELEMENTS or name == "header" and not in_article:
         return True
     if "=" not in attrs and "hidden" not in attrs.lower():
@@ -75,17 +85,30 @@ def _is_cut(name: str, attrs: str, in_article: bool) -> bool:
         return False
     if found.get("role", "").lower() in CUT_ROLES:
         return True
-    for name_token in " ".join(found.get(k, "") for k in ("class", "id", "aria-label")).split():
-        words = [w.lower() for w in _WORDS.findall(name_token)]
-        if words and not _NOT_OWN.match(words[0]) and any(_CUT_WORD.match(w) and not (in_article and w == "header") for w in words):
-            return name != "article" or any(w.startswith(("comment", "repl", "respon", "promo", "ad", "sponsor", "related")) for w in words)
-    return False
+    if in_text and name in HEADINGS:
+        return False
+    suspect = ""
+    for key in ("class", "id", "aria-label"):
+        value = found.get(key, "")
+        for token in [value] if in_text and key == "aria-label" else value.split():
+            words = [w.lower() for w in _WORDS.findall(token)]
+            named = [w for w in words if _CUT_WORD.match(w) and not (in_article and w == "header")]
+            if not named or _NOT_OWN.match(words[0]):
+                continue
+            if name == "article" and not any(w.startswith(("comment", "repl", "respon", "promo", "ad", "sponsor", "related")) for w in words):
+                return False
+            plain = [w for w in named if not _AMBIGUOUS.match(w)]
+            if not in_text or plain and (key == "class" or len(words) == 1) or any(_VENDOR.match(w) for w in plain):
+                return True
+            suspect = suspect or ("class" if key == "class" else "id")
+    return suspect
 
 
 def parse(page: str) -> Node:
     """The DOM of a page, with cut nodes marked; text is kept undecoded."""
     root = Node("html", None)
     stack = [root]
+    whole = not _ARTICLE.search(page)  # without an article's element, the text may be anywhere
     at, n = 0, len(page)
 
     def pop_to(i: int) -> None:
@@ -139,7 +162,11 @@ def parse(page: str) -> Node:
                     if name not in ("tr", "tbody", "tfoot"):
                         break
         parent = stack[-1]
-        node = Node(name, parent, parent.cut or _is_cut(name, attrs or "", any(x.name in ("article", "main") for x in stack)))
+        in_article = any(x.name in ("article", "main") for x in stack)
+        cut = parent.cut or _is_cut(name, attrs or "", in_article, in_article or whole)
+        node = Node(name, parent, cut is True)
+        if cut is not True and cut:
+            node.suspect = cut
         parent.children.append(node)
         if name in RAW and not (attrs or "").endswith("/"):
             end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
@@ -202,6 +229,16 @@ def cut_comments(root: Node) -> None:
         siblings[at:end] = [c for c in siblings[at:end] if not isinstance(c, str)]
 
 
+def cut_suspects(root: Node) -> None:
+    """Cut what a class, id or label suggests to be boilerplate and is mostly links, or, by its class, short."""
+    found = [x for x in _walk(root) if x.suspect]
+    if found:
+        measure(root)
+        for x in found:
+            if x.link_chars * 2 > x.chars or x.suspect == "class" and x.chars < PROSE_CHARS:
+                x.cut = True
+
+
 def _inside(node: Node, name: str) -> bool:
     while (node := node.parent) is not None:
         if node.name == name:
@@ -212,6 +249,7 @@ def _inside(node: Node, name: str) -> bool:
 def chosen(root: Node) -> list[Node]:
     """The subtree with the largest density sum and the siblings of its path that reach the threshold."""
     cut_comments(root)
+    cut_suspects(root)
     measure(root)
     seed = root.top
     article = next((x for x in _walk(root) if x.name in ("main", "article")), None)

@@ -52,6 +52,23 @@ def test_a_comments_heading_cuts_only_what_it_heads():
     assert main_text(page(f"<article><p>{LONG}</p><section><h2>2 replies</h2><p>A remark.</p></section></article>")) == LONG.strip()
 
 
+SLUGS = ['<section id="discussion">', '<section id="advertising-history">', '<section aria-label="Search for missing ships">', '<div class="side-effects">', '<section class="discussion">', '<section class="navajo-history">']
+
+
+@pytest.mark.parametrize("tag", SLUGS)
+def test_ordinary_slugs_stay_in_the_article(tag):
+    end = f"</{tag[1:].split()[0]}>"
+    inner = f'<h1>Title</h1><p>{LONG}</p>{tag}<h2 id="related-work">Related work</h2><p>{LONG * 2}</p>{end}<h2 id="side-effects">Side effects</h2><p>{LONG}</p>'
+    want = ["Title", LONG.strip(), "Related work", (LONG * 2).strip(), "Side effects", LONG.strip()]
+    assert main_text(page(f"<article>{inner}</article>")).split("\n") == want
+    assert main_text(page(f"<div>{inner}</div>")).split("\n") == want
+
+
+def test_boilerplate_in_the_article_still_goes():
+    for box in ('<div class="share-buttons">Share this</div>', '<div class="related-posts"><a href="/1">A long teaser of another article</a></div>', '<div id="related"><a href="/1">Another one</a></div>', '<div class="newsletter-box"><p>Get our letter.</p></div>', '<div class="ad-slot">Buy</div>', f'<div id="disqus_thread">{LONG}</div>', f'<div id="comments">{LONG}</div>'):
+        assert main_text(page(f"<article><p>{LONG}</p>{box}<p>{LONG}</p></article>")).split("\n") == [LONG.strip()] * 2
+
+
 def test_markup_as_browsers_read_it():
     assert main_text("<article><p>a<p>b<br>c<i>d</i>e<p>&eacute;&#233;&#xe9; &lt;p&gt;</article></div>") == "a\nb cde\néé\u00e9 <p>"
     assert main_text("<article><h1>x</h1><p><b>bold<p>on</b> end</p></article>") == "x\nbold\non end"
