@@ -38,6 +38,16 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u\{[0-9a-fA-F]{1,6}\}|\\u[0-9a-fA-F]{4}|\\U[0-9a-fA-F]{8}|\\x[0-9a-fA-F]{2}|&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 that is broken into lines.
+LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+PIECE = re.compile(r"[A-Za-z0-9+/_-]+")
+JOINER = re.compile(r"[/_-]")
+#: How compressed blobs begin: gzip, zlib, bzip2, xz.
+MAGIC = re.compile(rb"\x1f\x8b|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
+#: Bytes as URLs and string literals write them.
+URL_BYTES, URL_BYTE = re.compile(r"[!-~]+"), re.compile(r"%(?P<hex>[0-9A-Fa-f]{2})|[!-~](?P<simple>)")
+ESCAPED_BYTES, ESCAPED_BYTE = re.compile(r"[ -~]+"), re.compile(r"\\(?:x|u00|U000000|(?P<brace>u\{0{0,4}))(?P<hex>[0-9A-Fa-f]{2})(?(brace)\})|\\(?P<simple>[abfnrtv0\\'\"])|[ -~]")
+SIMPLE = dict(zip("abfnrtv0", b"\a\b\f\n\r\t\v\0", strict=True))
 
 Span = tuple[str, int, int]
 
@@ -107,44 +117,94 @@ def unicode_layer(layer: Layer) -> Layer | None:
     return layer.replaced(parts) if parts else None
 
 
-def _inflated(raw: bytes) -> bytes | None:
-    """The content of a compressed blob, or None."""
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            return zlib.decompress(raw, 31)
-        if len(raw) > 6 and raw[0] == 0x78 and (raw[0] * 256 + raw[1]) % 31 == 0:
-            return zlib.decompress(raw)
-        if raw[:3] == b"BZh":
-            return bz2.decompress(raw)
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return lzma.decompress(raw)
-    except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError):
-        pass
-    return None
+def _inflated(raw: bytes) -> tuple[bytes, int] | None:
+    """The content of the compressed blob that raw begins with and the blob's length, or None."""
+    if raw[:2] == b"\x1f\x8b":
+        magic, make = raw[:2], lambda: zlib.decompressobj(31)
+    elif len(raw) > 6 and raw[0] == 0x78 and (raw[0] * 256 + raw[1]) % 31 == 0:
+        magic, make = None, zlib.decompressobj
+    elif raw[:3] == b"BZh":
+        magic, make = raw[:3], bz2.BZ2Decompressor
+    elif raw[:6] == b"\xfd7zXZ\x00":
+        magic, make = raw[:6], lzma.LZMADecompressor
+    else:
+        return None
+    content, rest = [], raw
+    while not content or magic and rest.startswith(magic):
+        try:
+            one = make()
+            part = one.decompress(rest)
+        except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError):
+            break
+        if not one.eof:
+            break
+        content.append(part)
+        rest = one.unused_data
+    return (b"".join(content), len(raw) - len(rest)) if content else None
+
+
+def packed_layers(layer: Layer, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> Iterator[Layer]:
+    """Contents of compressed blobs in raw, whose byte i covers starts[i] to ends[i] of the layer."""
+    at = 0
+    while (m := MAGIC.search(raw, at)) is not None:
+        at = m.start() + 1
+        found = _inflated(raw[m.start() :])
+        if found is None:
+            continue
+        inner, used = found
+        while (deeper := _inflated(inner)) is not None:
+            inner = deeper[0]
+        text = _utf8(inner)[0]
+        at = m.start() + used
+        yield Layer(text, np.full(len(text), layer.first[starts[m.start()]]), np.full(len(text), layer.last[ends[at - 1] - 1]))
+
+
+def escaped_blobs(layer: Layer) -> Iterator[Layer]:
+    """Contents of compressed blobs written with URL or backslash escapes, plain characters between."""
+    for sign, run, one in (("%", URL_BYTES, URL_BYTE), ("\\", ESCAPED_BYTES, ESCAPED_BYTE)):
+        if sign not in layer.text:
+            continue
+        for m in run.finditer(layer.text):
+            if sign not in m[0]:
+                continue
+            raw, starts, ends = bytearray(), [], []
+            for x in one.finditer(m[0]):
+                raw.append(int(x["hex"], 16) if x["hex"] else SIMPLE.get(x["simple"], ord(x["simple"])) if x["simple"] else ord(x[0]))
+                starts.append(x.start() + m.start())
+                ends.append(x.end() + m.start())
+            yield from packed_layers(layer, bytes(raw), np.array(starts), np.array(ends))
+
+
+def _tokens(text: str) -> Iterator[tuple[str, np.ndarray]]:
+    """Base64 tokens and the places of their characters: single ones, and runs of lines joined. What
+    follows a '/', '-', '_' or a line's end may begin anew, so each alignment that it has is a token."""
+    for pattern in (BASE64, LINES):
+        for m in pattern.finditer(text):
+            pieces = list(PIECE.finditer(m[0]))
+            token = "".join(x[0] for x in pieces)
+            places = np.concatenate([np.arange(x.start(), x.end()) for x in pieces]) + m.start()
+            lines = np.cumsum([0, *(len(x[0]) for x in pieces)])
+            done = set()
+            for a in sorted({*lines[:-1].tolist(), *(x.end() for x in JOINER.finditer(token))}):
+                if a % 4 not in done and len(token) - a >= 16:
+                    done.add(a % 4)
+                    yield token[a:], places[a:]
 
 
 def base64_layers(layer: Layer) -> Iterator[Layer]:
-    for m in BASE64.finditer(layer.text):
-        token = m[0].rstrip("=")
-        if len(token) % 4 == 1:
-            continue
+    for token, places in _tokens(layer.text):
+        token = token[: len(token) - (len(token) % 4 == 1)]
         try:
             raw = base64.b64decode(token.replace("-", "+").replace("_", "/") + "=" * (-len(token) % 4))
         except (binascii.Error, ValueError):
             continue
-        start, packed = m.start(), False
-        while (inner := _inflated(raw)) is not None and inner != raw:
-            raw, packed = inner, True
-        try:
-            text = raw.decode()
-        except UnicodeDecodeError:
-            continue
-        if packed:
-            yield Layer(text, np.full(len(text), layer.first[start]), np.full(len(text), layer.last[m.end() - 1]))
-        elif text:
-            ends = np.cumsum([len(c.encode()) for c in text])
+        at = np.arange(len(raw))
+        yield from packed_layers(layer, raw, places[at * 4 // 3], places[np.minimum(-(-(at + 1) * 4 // 3), len(token)) - 1] + 1)
+        text, sizes = _utf8(raw)
+        if text:
+            ends = np.cumsum(sizes)
             begins = np.concatenate([[0], ends[:-1]])
-            yield Layer(text, layer.first[start + begins * 4 // 3], layer.last[start + np.minimum(-(-ends * 4 // 3), len(token)) - 1])
+            yield Layer(text, layer.first[places[begins * 4 // 3]], layer.last[places[np.minimum(-(-ends * 4 // 3), len(token)) - 1]])
 
 
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
@@ -160,7 +220,7 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     seen = {(text, 0, n)}
     while work:
         layer = work.pop()
-        for child in (url_layer(layer), unicode_layer(layer), *base64_layers(layer)):
+        for child in (url_layer(layer), unicode_layer(layer), *escaped_blobs(layer), *base64_layers(layer)):
             if child is None or not child.text:
                 continue
             key = (child.text, int(child.first[0]), int(child.last[-1]))

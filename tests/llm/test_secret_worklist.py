@@ -43,6 +43,25 @@ def test_layers_are_unwrapped_and_mapped_back(name):
     assert "hunter2" not in S.redact_text(text, spans) and LAYERS[name] not in S.redact_text(text, spans)
 
 
+MORE = "".join(f"{i}. filler {i * 7919}\n" for i in range(60)) + SECRET
+WRAP = lambda s, n=64: "\n".join(s[i : i + n] for i in range(0, len(s), n))
+MISSED = {
+    "gzip in url": urllib.parse.quote(gzip.compress(MORE.encode(), mtime=0), safe=""), "zlib in url": "".join(f"%{b:02x}" for b in zlib.compress(MORE.encode())), "bz2 in escapes": "".join(f"\\x{b:02x}" for b in bz2.compress(MORE.encode())),
+    "gzip as a literal": repr(gzip.compress(MORE.encode(), mtime=0))[2:-1], "no utf-8": B64(b"\xff\xfe " + SECRET.encode()), "no utf-8 in gzip": B64(gzip.compress(b"\xff " + SECRET.encode())),
+    "gzip in lines": WRAP(B64(gzip.compress(MORE.encode(), mtime=0))), "secret across lines": WRAP(B64("x" * 40 + SECRET + "y" * 9)), "indented lines": WRAP(B64("x" * 40 + SECRET)).replace("\n", "\r\n  "),
+    "pem": "-----BEGIN CERTIFICATE-----\n" + WRAP(B64("x" * 40 + SECRET + "y" * 7)) + "\n-----END CERTIFICATE-----", "after a path": "/api/v1/" + B64(SECRET), "after a dash": "key-" + B64(SECRET), "gzip after a path": "/d/" + B64(gzip.compress(SECRET.encode())),
+}
+
+
+@pytest.mark.parametrize("name", MISSED)
+def test_layers_that_were_missed(name):
+    text = f"é 😀 before {MISSED[name]} after"
+    _, spans = S.all_spans(text)
+    start = text.index(MISSED[name])
+    found = [s for s in spans if s[0] == "assign"]
+    assert found and all(start <= a < b <= start + len(MISSED[name]) for _, a, b in found)
+
+
 def test_url_and_unicode_spans_are_exact():
     text = "xx p%61ssword=abcdef yy"
     assert S.all_spans(text) == ([], [("assign", 3, 20)])
