@@ -123,6 +123,16 @@ def s8_text_lookup(spark, sf_dir):
     return shards.read_texts(table(spark, sf_dir, "documents"), wanted)
 
 
+@query("WITH t AS (SELECT (max(doc_id) + 1) // 2 AS half FROM documents), w AS (SELECT 2 * doc_id AS p, doc_id AS want FROM documents UNION ALL SELECT 2 * doc_id + 1, doc_id + half FROM documents, t) SELECT p AS position, want AS doc_id, coalesce(text, '') AS text FROM w LEFT JOIN documents ON want = doc_id")
+def s8_text_lookup_all(spark, sf_dir):
+    """Every id once, and ids from the middle to half beyond the last, so that some repeat and some aren't there."""
+    docs = table(spark, sf_dir, "documents")
+    half = docs.agg(F.floor((F.max("doc_id") + 1) / 2).alias("half"))
+    wants = F.posexplode(F.array(F.col("doc_id"), F.col("doc_id") + F.col("half")))
+    wanted = docs.select("doc_id").crossJoin(F.broadcast(half)).select(F.col("doc_id").alias("own"), wants.alias("nth", "doc_id"))
+    return shards.read_texts(docs, wanted.select((2 * F.col("own") + F.col("nth")).alias("position"), "doc_id"))
+
+
 @query("SELECT doc_id, source AS shard_file, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS row_in_file, (SELECT count(*) FROM documents e WHERE e.source < d.source) + row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS global_id FROM documents d WHERE source IS NOT NULL")
 def s10_global_index(spark, sf_dir):
     """Sources stand for files; each document's place is counted and routed back to its file."""

@@ -144,3 +144,13 @@ def test_stream_takes_in_new_files_once(spark, folder, tmp_path):
         assert spark.read.parquet(str(tmp_path / "out")).count() == expected
     batch = spark.read.parquet(str(tmp_path / "out"))
     assert ingest.running_tokens(batch, "cat").agg(F.sum("docs")).first()[0] == 7
+
+
+def test_lookup_of_all_ids_and_beyond(spark, sf_dir):
+    from mixweave.plans.queries import QUERIES
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    out = QUERIES["s8_text_lookup_all"](spark, sf_dir).collect()
+    wanted = [r["doc_id"] for r in out]
+    assert set(texts) <= set(wanted) and max(wanted) > max(texts) and len(set(wanted)) < len(wanted)
+    assert all(r["text"] == texts.get(r["doc_id"], "") for r in out)
