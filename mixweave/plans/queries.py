@@ -539,6 +539,20 @@ def m1_blend(spark, sf_dir):
     return blending.blend(table(spark, sf_dir, "documents").select("doc_id", "text"), general, 3000)
 
 
+@query("""
+WITH n AS (SELECT (SELECT count(*) FROM documents) AS p, (SELECT count(*) FROM benchmark) AS g),
+drawn AS (SELECT i AS position, CASE WHEN ('0x' || substr(md5('42:' || i), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < 0.7 THEN 'primary' ELSE 'general' END AS source FROM (SELECT unnest(range(2 * p)) AS i FROM n)),
+placed AS (SELECT position, source, (row_number() OVER (PARTITION BY source ORDER BY position) - 1) % CASE source WHEN 'primary' THEN p ELSE g END AS ordinal FROM drawn, n),
+texts AS (SELECT 'primary' AS source, row_number() OVER (ORDER BY doc_id) - 1 AS ordinal, doc_id, text FROM documents UNION ALL SELECT 'general', row_number() OVER (ORDER BY item_id) - 1, item_id, text FROM benchmark)
+SELECT position, source, ordinal, doc_id, text FROM placed JOIN texts USING (source, ordinal)
+""")
+def m1_blend_all(spark, sf_dir):
+    """Two rows for each document: at a ratio of 0.7 every document appears and the documents begin anew."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    general = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return blending.blend(docs, general, 2 * docs.count())
+
+
 @query("SELECT doc_id, ('0x' || substr(md5('42:' || doc_id), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u FROM documents")
 def r6_unit_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", unit_hash(42, F.col("doc_id")).alias("u"))

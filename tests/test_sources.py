@@ -154,3 +154,12 @@ def test_lookup_of_all_ids_and_beyond(spark, sf_dir):
     wanted = [r["doc_id"] for r in out]
     assert set(texts) <= set(wanted) and max(wanted) > max(texts) and len(set(wanted)) < len(wanted)
     assert all(r["text"] == texts.get(r["doc_id"], "") for r in out)
+
+
+def test_blend_of_all_documents(spark, sf_dir):
+    from mixweave.plans.queries import QUERIES
+
+    ids = [r["doc_id"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()]
+    out = QUERIES["m1_blend_all"](spark, sf_dir).collect()
+    drawn = [r["doc_id"] for r in out if r["source"] == "primary"]
+    assert len(out) == 2 * len(ids) and set(drawn) == set(ids) and len(drawn) > len(ids)
