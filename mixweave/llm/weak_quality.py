@@ -27,14 +27,14 @@ from pyspark.sql import types as T
 
 from .common import slices, stage, unstage
 
-#: Documents that the scorer is fitted on: about so many, chosen by a hash. Counts cover all.
+#: Distinct texts that the scorer is fitted on: about so many at most, chosen by a hash. Counts cover all.
 FIT_DOCS = 4000
 MIN_SCORE = 0.5
 GRAMS, WORDS, BUCKETS = 4096, 4096, 64
 DIMS = GRAMS + WORDS + BUCKETS
-EM_ROUNDS = 100
-#: How often a labeller is held to accuse a good document, and the weight of that against the corpus.
-FALSE_ALARMS, PRIOR_WEIGHT = 1e-3, 20.0
+EM_ROUNDS = 500
+#: How often a labeller accuses a good document and a bad one before any is seen, and how many documents that counts as.
+FALSE_ALARMS, HIT_RATE, PRIOR_DOCS = 0.01, 0.3, 10.0
 FIT_ROUNDS = 200
 
 #: Classes of UTF-8 bytes.
@@ -99,48 +99,91 @@ def features(s: Signals) -> tuple[np.ndarray, np.ndarray]:
 
 
 def vote_docs(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
-    """A row (votes, at, values) per document; features only for about fit_docs of them."""
+    """A row (votes, text_hash, at, values) per document; features only where the text's hash picks it.
+
+    Equal texts are picked together, and each text is fitted on once, so that about fit_docs rows at
+    most are, however often rows repeat.
+    """
     total = max(docs.count(), 1)
     cutoff = int(min(1.0, fit_docs / total) * (1 << 30))
-    picked = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text")), F.lit(1 << 30)) < cutoff
-    schema = "votes string, at array<int>, vals array<float>"
+    hashed = docs.select("text", F.xxhash64("text").alias("text_hash"))
+    schema = "votes string, text_hash long, at array<int>, vals array<float>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             votes, at, values = [], [], []
-            for text, pick in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, pick in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 s = Signals(text or "")
                 i, x = features(s) if pick and s.n else (None, None)
                 votes.append(votes_of(s))
                 at.append(i)
                 values.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.string()), pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], names=["votes", "at", "vals"])
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.string()), batch.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], names=["votes", "text_hash", "at", "vals"])
+
+    return hashed.withColumn("pick", F.pmod("text_hash", F.lit(1 << 30)) < cutoff).mapInArrow(run, schema)
+
 
-    return docs.select("text", picked.alias("pick")).mapInArrow(run, schema)
+def _em(accuses: np.ndarray, clears: np.ndarray, n: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Rates [labeller, class], class weights, shares [pattern, class] and likelihood; the good class is last.
+
+    Beta priors of a few documents' weight keep rates off 0 and 1. EM stops when it no longer moves.
+    """
+    k = share.shape[1]
+    hits = np.array([HIT_RATE] * (k - 1) + [FALSE_ALARMS])
+    rate, weight, before = np.empty((0, k)), np.empty(k), -np.inf
+    for _ in range(rounds):
+        w = n[:, None] * share
+        bad_votes, all_votes = accuses.T @ w, (accuses + clears).T @ w
+        rate = (bad_votes + PRIOR_DOCS * hits) / (all_votes + PRIOR_DOCS)
+        weight = (w.sum(0) + 1) / (n.sum() + k)
+        score = accuses @ np.log(rate) + clears @ np.log(1 - rate) + np.log(weight)
+        top = score.max(1, keepdims=True)
+        total = np.exp(score - top).sum(1, keepdims=True)
+        share = np.exp(score - top) / total
+        likelihood = float(n @ (top + np.log(total))[:, 0])
+        if likelihood - before < 1e-7 * n.sum():
+            break
+        before = likelihood
+    return rate, weight, share, likelihood
 
 
 def fit_votes(counts: dict[str, int], rounds: int = EM_ROUNDS) -> tuple[np.ndarray, float, dict[str, float]]:
     """EM over vote patterns: how often each labeller accuses, as [labeller, class] with bad first,
     the share of good documents, and each pattern's posterior of good.
 
-    An abstention says nothing, so that a document too short for a labeller isn't held against it.
-    A prior that outweighs the corpus holds that labellers seldom accuse good documents; without it,
-    EM may call the commonest kind of bad document good.
+    Labellers err independently on good documents and on each kind of bad ones. A kind is added, from
+    the accused pattern that the model explains worst, as long as that lowers the Bayesian information
+    criterion and its documents are accused by some labeller more often than not. Where one kind
+    explains the votes, this is the plain model of two classes. An abstention says nothing, so that a
+    document too short for a labeller isn't held against it.
     """
     patterns = sorted(counts)
     n = np.array([counts[p] for p in patterns], float)
     accuses, clears = (np.array([[x == k for x in p] for p in patterns], float) for k in "-+")
-    weight = np.array([0.0, PRIOR_WEIGHT * n.sum()])  # of the prior, for bad and good documents
-    good = np.where(accuses.any(1), 0.1, 0.9)
-    rate, share = np.empty((0, 2)), 0.5
-    for _ in range(rounds):
-        w = np.stack([n * (1 - good), n * good])  # class, pattern
-        bad_votes, all_votes = (w @ accuses).T, (w @ (accuses + clears)).T
-        rate = (bad_votes + 0.5 + weight * FALSE_ALARMS) / (all_votes + 1 + weight)
-        share = float((w[1].sum() + 1) / (n.sum() + 2))
-        score = accuses @ np.log(rate) + clears @ np.log(1 - rate) + np.log([1 - share, share])
-        good = 1 / (1 + np.exp(np.clip(score[:, 0] - score[:, 1], -50, 50)))
-    return rate, share, dict(zip(patterns, good.tolist(), strict=True))
+    accused = accuses.any(1)
+    share = np.stack([np.where(accused, 0.9, 0.1), np.where(accused, 0.1, 0.9)], 1)
+    rate, weight, share, likelihood = _em(accuses, clears, n, share, rounds)
+    price = (accuses.shape[1] + 1) * math.log(max(n.sum(), 2.0)) / 2
+    for _ in range(accuses.shape[1] - 1):
+        score = np.exp(accuses @ np.log(rate) + clears @ np.log(1 - rate) + np.log(weight)).sum(1)
+        seen = accuses + clears
+        alike = seen @ seen.T == seen.sum(1)[:, None]  # patterns that hold all votes that this one's labellers cast
+        of = np.array([n[a].sum() for a in alike])
+        excess = np.where(accused, n * np.log(np.maximum(n / np.maximum(of * score, 1e-300), 1e-300)), -np.inf)
+        best = None
+        for worst in np.argsort(-excess, kind="stable")[:3]:
+            if excess[worst] <= 0:
+                break
+            new = 0.9 * ((accuses @ accuses[worst] > 0) & (clears @ accuses[worst] == 0))
+            tried = np.concatenate([new[:, None], share * (1 - new[:, None])], 1)
+            found = _em(accuses, clears, n, tried, rounds)
+            if (found[0][:, :-1].max(0) >= 0.5).all() and (best is None or found[3] > best[3]):
+                best = found
+        if best is None or best[3] - likelihood <= price:
+            break
+        rate, weight, share, likelihood = best
+    bad = rate[:, :-1] @ weight[:-1] / weight[:-1].sum()
+    return np.stack([bad, rate[:, -1]], 1), float(weight[-1]), dict(zip(patterns, share[:, -1].tolist(), strict=True))
 
 
 def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], wanted: np.ndarray, l2: float = 1e-4) -> np.ndarray:
@@ -176,7 +219,8 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> tuple[np.ndarray | None, d
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([fit_scorer(rows, np.array(wanted, np.float32)).tobytes()], pa.binary())], names=["weights"])
 
-    found = voted.where("at is not null").repartition(1).mapInArrow(run, "weights binary").collect()
+    sample = voted.where("at is not null").dropDuplicates(["text_hash"]).select("votes", "at", "vals")
+    found = sample.repartition(1).mapInArrow(run, "weights binary").collect()
     unstage(voted)
     return (np.frombuffer(bytes(found[0]["weights"]), np.float32) if found else None), posterior
 
