@@ -1,23 +1,25 @@
 """WARC archives and their external index merge.
 
-Pages are written as WARC records by Spark's text writer: the two line ends that close a record are
-the writer's line separator, so archives land through the commit protocol in any store that Spark
-reads. Payloads of some size that occur again become revisit records. Reading an archive back gives
-one sorted run of captures; runs are dealt by ranges of (URL key, time, page), and each range merges
-its pieces of runs with a loser tree, which yields capture histories in global order. Runs that
-exceed a task's buffer wait in its own temporary file.
+Pages become WARC records, one gzip member each, and tasks pack members into blocks that Spark's text
+writer puts out uncompressed, so that archives land through the commit protocol in any store that
+Spark reads. The writer's line separator is the zero byte in which a gzip member's length ends.
+Payloads of some size that occur again become revisit records. Reading an archive back gives one
+sorted run of captures; runs are dealt by ranges of (URL key, time, page) that are small enough for a
+task's memory, and each range merges its pieces of runs with a loser tree, which yields capture
+histories in global order. A capture's offset and length name its record's member in the archive.
 
 Defined results: null html is an empty payload; pages with the smallest page_id of a payload are
 responses, also where that id repeats; null ids count as larger than any; a null url is stored as
 empty; repeated rows give a record each; an empty table gives no captures; other columns are ignored.
+A very long page is a block of its own, and an archive is cut by bytes, not by records; a task holds
+one archive or one range of captures.
 """
 
 from __future__ import annotations
 
 import hashlib
 import io
-import pickle
-import tempfile
+import math
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -25,22 +27,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_dimension, stage, stage_path
+from .common import join_dimension, slices, stage, stage_path
 
 #: Payloads with fewer bytes are always written whole.
 MIN_REVISIT_BYTES = 100
-#: Records of an archive file, at most; larger partitions write several files.
-ARCHIVE_RECORDS = 20_000
-#: Captures that a merging task holds before its runs go to its temporary file.
-BUFFER_ROWS = 100_000
-#: Captures that are written to and read from that file at once.
+#: Compressed bytes of a block, unless a single record has more, and blocks of an archive file.
+BLOCK_BYTES, ARCHIVE_BLOCKS = 4 << 20, 8
+#: Bytes of the captures that a merging task holds, and captures of a batch.
+RANGE_BYTES = 16 << 20
 PIECE_ROWS = 2_000
 EPOCH = 1704067200
 END = "\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-FIELDS = [("urlkey", pa.string()), ("captured", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("archive", pa.string()), ("offset", pa.int64())]
-SCHEMA = "urlkey string, captured string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long"
+FIELDS = [("urlkey", pa.string()), ("captured", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]
+SCHEMA = "urlkey string, captured string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long"
 
 
 def plan_records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
@@ -64,7 +65,7 @@ def _header(name: str, value: Column) -> Column:
 
 
 def record_text() -> Column:
-    """A planned row as a WARC record without the line ends that close it."""
+    """A planned row as a WARC record."""
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"), _header("Content-Length", F.col("payload_bytes")), F.lit("\r\n"))
     whole = F.col("record_type") == "response"
     block_bytes = F.octet_length(http) + F.when(whole, F.col("payload_bytes")).otherwise(0)
@@ -75,14 +76,41 @@ def record_text() -> Column:
         F.lit("WARC/1.1\r\n"), _header("WARC-Type", F.col("record_type")), _header("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), uuid, F.lit(">"))),
         _header("WARC-Date", captured), _header("WARC-Target-URI", _one_line(F.col("url"))), _header("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
         _header("WARC-Profile", F.when(~whole, F.lit(REVISIT_PROFILE))), _header("X-Page-Id", F.col("page_id")), _header("X-Refers-To-Page-Id", F.col("refers_to")), _header("X-Payload-Length", F.col("payload_bytes")),
-        F.lit("Content-Type: application/http; msgtype=response\r\n"), _header("Content-Length", block_bytes), F.lit("\r\n"), http, F.when(whole, F.col("html")).otherwise(F.lit("")),
+        F.lit("Content-Type: application/http; msgtype=response\r\n"), _header("Content-Length", block_bytes), F.lit("\r\n"), http, F.when(whole, F.col("html")).otherwise(F.lit("")), F.lit(END),
     )
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES) -> None:
-    """Write a record per page to gzip-compressed WARC files under path."""
-    records = plan_records(pages, min_bytes).select(record_text().alias("value"))
-    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+def gzip_member(record: bytes) -> bytes:
+    """A record as a gzip member that ends in a zero byte; an empty member follows where it doesn't."""
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    member = z.compress(record) + z.flush()
+    return member if member[-1] == 0 else member + gzip_member(b"")
+
+
+def blocks_of(records: Iterable[bytes], most: int = BLOCK_BYTES) -> Iterator[bytes]:
+    """Members in blocks of at most so many bytes, without the zero byte that ends a block."""
+    held, size = [], 0
+    for record in records:
+        member = gzip_member(record)
+        if held and size + len(member) > most:
+            yield b"".join(held)[:-1]
+            held, size = [], 0
+        held.append(member)
+        size += len(member)
+    if held:
+        yield b"".join(held)[:-1]
+
+
+def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES, block_bytes: int = BLOCK_BYTES) -> None:
+    """Write a record per page to WARC files under path, a gzip member each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        records = (v.as_py() for b in slices(batches) for v in b.column(0).cast(pa.binary()))
+        for block in blocks_of(records, block_bytes):
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary())], names=["value"])
+
+    blocks = plan_records(pages, min_bytes).select(record_text().alias("value")).mapInArrow(run, "value binary")
+    blocks.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", ARCHIVE_BLOCKS).text(path)
 
 
 def url_key(url: str) -> str:
@@ -94,61 +122,40 @@ def url_key(url: str) -> str:
     return ",".join(reversed(name.split("."))) + (f":{port}" if port else "") + ")" + (rest[cut:] or "/")
 
 
-def read_records(stream: io.BufferedIOBase) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, headers, block) of each record of an uncompressed WARC stream."""
-    at = 0
-    while line := stream.readline():
-        if not line.strip():
-            at += len(line)
-            continue
-        if not line.startswith(b"WARC/"):
-            raise ValueError(f"no WARC record at {at}")
-        size, headers = len(line), {}
-        while (line := stream.readline()).strip():
-            size += len(line)
-            name, _, value = line.decode().partition(":")
-            headers[name.lower()] = value.strip()
-        size += len(line)
-        block = stream.read(n := int(headers["content-length"]))
-        if len(block) != n:
-            raise ValueError(f"record at {at} is cut off")
-        yield at, headers, block
-        at += size + n
-
-
-class _Gunzip(io.RawIOBase):
-    """Inflates bytes as they are read."""
-
-    def __init__(self, data: bytes):
-        self.data, self.at, self.out, self.z = memoryview(data), 0, b"", zlib.decompressobj(31)
-
-    def readable(self) -> bool:
-        return True
-
-    def readinto(self, buffer) -> int:
-        while not self.out:
-            if self.z.eof:
-                if not self.z.unused_data and self.at >= len(self.data):
-                    return 0
-                rest, self.z = self.z.unused_data, zlib.decompressobj(31)
-                self.out = self.z.decompress(rest, 1 << 20) if rest else b""
-                continue
-            if self.z.unconsumed_tail:
-                self.out = self.z.decompress(self.z.unconsumed_tail, 1 << 20)
-                continue
-            if self.at >= len(self.data):
-                self.out = self.z.flush()
-                if not self.out:
-                    return 0
-                break
-            self.out = self.z.decompress(self.data[self.at : self.at + (1 << 16)], 1 << 20)
-            self.at += 1 << 16
-        n = min(len(buffer), len(self.out))
-        buffer[:n], self.out = self.out[:n], self.out[n:]
-        return n
-
-
-def capture_of(archive: str, offset: int, headers: dict[str, str], block: bytes) -> tuple:
+def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, content) of each gzip member that holds anything."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        z, out, end, step = zlib.decompressobj(31), [], at, 1 << 12
+        while not z.eof:
+            if end >= len(view):
+                raise ValueError(f"member at {at} is cut off")
+            out.append(z.decompress(view[end : end + step]))
+            end, step = min(end + step, len(view)), 1 << 16
+        end -= len(z.unused_data)
+        content = b"".join(out)
+        if content:
+            yield at, end - at, content
+        at = end
+
+
+def read_record(content: bytes) -> tuple[dict[str, str], bytes]:
+    """Headers and block of one WARC record."""
+    stream = io.BytesIO(content)
+    if not stream.readline().startswith(b"WARC/"):
+        raise ValueError("no WARC record")
+    headers = {}
+    while (line := stream.readline()).strip():
+        name, _, value = line.decode().partition(":")
+        headers[name.lower()] = value.strip()
+    block = stream.read(n := int(headers["content-length"]))
+    if len(block) != n or stream.read() != END.encode():
+        raise ValueError("a WARC record's length is wrong")
+    return headers, block
+
+
+def capture_of(archive: str, offset: int, length: int, content: bytes) -> tuple:
+    headers, block = read_record(content)
     number = lambda name: int(headers[name]) if name in headers else None
     digest, size = headers["warc-payload-digest"].removeprefix("sha256:"), number("x-payload-length")
     if headers["warc-type"] == "response":
@@ -156,7 +163,7 @@ def capture_of(archive: str, offset: int, headers: dict[str, str], block: bytes)
         if hashlib.sha256(payload).hexdigest() != digest or len(payload) != size:
             raise ValueError(f"{archive}: payload of the record at {offset} is damaged")
     url = headers["warc-target-uri"]
-    return url_key(url), headers["warc-date"], number("x-page-id"), url, size, digest, headers["warc-type"], number("x-refers-to-page-id"), archive, offset
+    return url_key(url), headers["warc-date"], number("x-page-id"), url, size, digest, headers["warc-type"], number("x-refers-to-page-id"), archive, offset, length
 
 
 def order_key(row: tuple) -> tuple:
@@ -174,8 +181,7 @@ def sorted_runs(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 archive = batch.column(0)[i].as_py().rpartition("/")[2]
-                stream = io.BufferedReader(_Gunzip(batch.column(1)[i].as_py()), 1 << 16)
-                rows = sorted((capture_of(archive, *r) for r in read_records(stream)), key=order_key)
+                rows = sorted((capture_of(archive, *m) for m in members(batch.column(1)[i].as_py())), key=order_key)
                 for a in range(0, len(rows), PIECE_ROWS):
                     yield _batch(rows[a : a + PIECE_ROWS])
 
@@ -217,43 +223,28 @@ def loser_tree(runs: list[Iterator], key: Callable) -> Iterator:
         winner = player
 
 
-def merge_pieces(rows: Iterable[tuple], buffer_rows: int = BUFFER_ROWS, piece_rows: int = PIECE_ROWS) -> Iterator[tuple]:
+def merge_pieces(rows: Iterable[tuple]) -> Iterator[tuple]:
     """Merge a stream of pieces of sorted runs: a new run begins where the order falls back."""
-    with tempfile.TemporaryFile() as spill:
-        runs: list[tuple[list[int], list[tuple]]] = []
-        last, held = None, 0
-
-        def put_by() -> None:
-            for places, kept in runs:
-                for a in range(0, len(kept), piece_rows):
-                    places.append(spill.seek(0, 2))
-                    pickle.dump(kept[a : a + piece_rows], spill, pickle.HIGHEST_PROTOCOL)
-                kept.clear()
-
-        def read(places: list[int], kept: list[tuple]) -> Iterator[tuple]:
-            for place in places:
-                spill.seek(place)
-                yield from pickle.load(spill)
-            yield from kept
-
-        for row in rows:
-            k = order_key(row)
-            if last is None or k < last:
-                runs.append(([], []))
-            last = k
-            runs[-1][1].append(row)
-            held += 1
-            if held >= buffer_rows:
-                put_by()
-                held = 0
-        yield from loser_tree([read(*r) for r in runs], order_key)
+    runs: list[list[tuple]] = []
+    last = None
+    for row in rows:
+        k = order_key(row)
+        if last is None or k < last:
+            runs.append([])
+        last = k
+        runs[-1].append(row)
+    yield from loser_tree([iter(r) for r in runs], order_key)
 
 
 def merge_index(runs: DataFrame) -> DataFrame:
-    """Captures in global order: partition after partition, and within each by key, time and page."""
+    """Captures in global order: partition after partition, and within each by key, time and page.
+
+    Ranges are as many as keep each in a task's memory; no two captures have equal keys, so any
+    number of captures of one address can be dealt to several.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        rows = (r for b in slices(batches) for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
         out = []
         for row in merge_pieces(rows):
             out.append(row)
@@ -263,7 +254,9 @@ def merge_index(runs: DataFrame) -> DataFrame:
         if out:
             yield _batch(out)
 
-    return runs.repartitionByRange("urlkey", "captured", "page_id", "archive", "offset").mapInArrow(run, SCHEMA)
+    size = runs.agg(F.sum(F.octet_length("urlkey") + F.octet_length("url") + 200).alias("bytes")).first()["bytes"] or 0
+    ranges = max(1, math.ceil(size / RANGE_BYTES), int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return runs.repartitionByRange(ranges, "urlkey", "captured", "page_id", "archive", "offset").mapInArrow(run, SCHEMA)
 
 
 def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:

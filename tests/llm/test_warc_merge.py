@@ -13,12 +13,11 @@ def test_loser_tree_equals_sorting(k):
     assert merged == sorted(x for r in runs for x in r)
 
 
-@pytest.mark.parametrize("buffer", [3, 7, 10**6])
-def test_runs_merge_from_memory_and_from_disk(buffer):
+def test_pieces_of_runs_merge():
     rng = random.Random(1)
-    rows = [(f"k{rng.randint(0, 5)}", f"t{rng.randint(0, 3)}", rng.choice([None, 1, 2]), "", 0, "", "", None, f"a{i % 3}", i) for i in range(60)]
+    rows = [(f"k{rng.randint(0, 5)}", f"t{rng.randint(0, 3)}", rng.choice([None, 1, 2]), "", 0, "", "", None, f"a{i % 3}", i, 1) for i in range(60)]
     pieces = [r for a in range(3) for r in sorted((x for x in rows if x[8] == f"a{a}"), key=M.order_key)]
-    assert list(M.merge_pieces(pieces, buffer, 2)) == sorted(rows, key=M.order_key)
+    assert list(M.merge_pieces(pieces)) == sorted(rows, key=M.order_key)
 
 
 def test_url_keys():
@@ -45,23 +44,48 @@ def test_round_trip_and_revisits(spark, tmp_path):
     assert keys == sorted(keys)
 
 
-def test_archives_are_gzip_warc_files(spark, tmp_path):
+def test_index_offsets_name_the_records(spark, tmp_path, monkeypatch):
     import gzip
 
-    pages = spark.createDataFrame([(1, "http://a", BIG)], "page_id long, url string, html string")
-    M.write_archives(pages, str(tmp_path / "w"))
-    file = next((tmp_path / "w").glob("part-*.gz"))
-    raw = gzip.decompress(file.read_bytes())
-    assert raw.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and raw.endswith(b"\r\n\r\n")
-    ((at, headers, block),) = list(M.read_records(__import__("io").BytesIO(raw)))
-    assert at == 0 and block.endswith(BIG.encode()) and headers["content-type"].startswith("application/http")
+    monkeypatch.setattr(M, "ARCHIVE_BLOCKS", 2)
+    rng = random.Random(3)
+    pages = [(i, f"http://a{i % 3}.com/{i}", "".join(chr(rng.choice([65, 233, 0x20AC, 0x1F600, 0])) for _ in range(rng.randint(0, 3000)))) for i in range(60)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)
+    M.write_archives(df, str(tmp_path / "w"), block_bytes=4000)
+    files = {f.name: f.read_bytes() for f in (tmp_path / "w").glob("part-*")}
+    assert len(files) > 4 and all(len(x) < 4 * 4000 for x in files.values())
+    index = M.merge_index(M.sorted_runs(spark, str(tmp_path / "w"))).collect()
+    assert len(index) == 60
+    for r in index:
+        raw = gzip.decompress(files[r["archive"]][r["offset"] : r["offset"] + r["length"]])
+        assert raw.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and raw.endswith(b"\r\n\r\n")
+        headers, block = M.read_record(raw)
+        assert block.partition(b"\r\n\r\n")[2].decode() == pages[r["page_id"]][2] and headers["x-page-id"] == str(r["page_id"])
+    whole = b"".join(gzip.decompress(x) for x in files.values())
+    assert whole.count(b"WARC-Record-ID") == 60
+
+
+def test_members_of_any_size():
+    big = random.Random(0).randbytes(17 << 20)  # its length doesn't end in a zero byte
+    contents = [b"a", big, b"b" * 100_000]
+    blocks = list(M.blocks_of(contents, 1000))
+    assert [c for b in blocks for _, _, c in M.members(b + b"\0")] == contents and len(blocks) == 3
+    with pytest.raises(ValueError):
+        list(M.members(M.gzip_member(b"abc")[:-3]))
+
+
+def test_a_very_long_page(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "é" * 3_000_000), (2, "u", "é" * 3_000_000)], "page_id long, url string, html string")
+    out = {r["page_id"]: r for r in M.archive_pages(pages, str(tmp_path / "w")).collect()}
+    assert out[1]["payload_bytes"] == 6_000_000 and out[2]["refers_to"] == 1
 
 
 def test_damage_is_noticed():
     block = b"HTTP/1.1 200 OK\r\n\r\nabc"
-    headers = {"warc-type": "response", "warc-date": "", "warc-target-uri": "", "warc-payload-digest": "sha256:00", "x-payload-length": "3"}
-    with pytest.raises(ValueError):
-        M.capture_of("a", 0, headers, block)
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Date: \r\nWARC-Target-URI: \r\nWARC-Payload-Digest: sha256:00\r\nX-Payload-Length: 3\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(block), block)
+    for content in (record, record[:-5], b"x" + record):
+        with pytest.raises(ValueError):
+            M.capture_of("a", 0, 1, content)
 
 
 def test_empty_table(spark):
