@@ -5,8 +5,14 @@ escapes, base64 tokens and compressed blobs, layer in layer, until no new layer
 already seen at the same place ends a cycle. Every layer is rescanned, and its spans are mapped back
 to code points of the original text.
 
+What a compressed blob holds is read as a stream, in windows that end where no secret, token or blob
+goes on; all that is found there maps to the blob's own place. What goes on past a window is opened
+anew as a stream of its own, so that memory is bounded however far a blob inflates.
+
 Defined results: a null text is empty and has no spans; equal rows give equal spans; an empty table
-gives an empty table. Other columns are kept; `base` and `spans` replace columns of those names.
+gives an empty table; a highly compressed text costs time, not memory, and a blob that is cut off,
+damaged, or needs a dictionary of more than XZ_BYTES isn't unpacked. Other columns are kept; `base`
+and `spans` replace columns of those names.
 """
 
 from __future__ import annotations
@@ -14,10 +20,12 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +55,12 @@ MAGIC = re.compile(rb"\x1f\x8b|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
 #: Bytes as URLs and string literals write them.
 URL_BYTES, URL_BYTE = re.compile(r"[!-~]+"), re.compile(r"%(?P<hex>[0-9A-Fa-f]{2})|[!-~](?P<simple>)")
 ESCAPED_BYTES, ESCAPED_BYTE = re.compile(r"[ -~]+"), re.compile(r"\\(?:x|u00|U000000|(?P<brace>u\{0{0,4}))(?P<hex>[0-9A-Fa-f]{2})(?(brace)\})|\\(?P<simple>[abfnrtv0\\'\"])|[ -~]")
+#: Bytes of a window of a content, of the longest one, and of what two share where one had to be cut.
+WINDOW, LONGEST, OVERLAP = 1 << 18, 2 << 20, 1 << 16
+XZ_BYTES = 128 << 20
+#: Where windows may end: at bytes that no secret, token or escape holds, or at the end of a line of other than base64.
+LAST_BREAK, BASE64_LINE = re.compile(rb"(?s).*[^\t\r\n -~]"), re.compile(rb"[ \t]*[A-Za-z0-9+/_-]{1,}={0,2}[ \t\r]*\Z")
+NOT_BASE64, LAST_OTHER, URL_SAFE = re.compile(rb"[^A-Za-z0-9+/_ \t\r\n-]"), re.compile(rb"(?s).*[^A-Za-z0-9+/_ \t\r\n-]"), bytes.maketrans(b"-_", b"+/")
 SIMPLE = dict(zip("abfnrtv0", b"\a\b\f\n\r\t\v\0", strict=True))
 
 Span = tuple[str, int, int]
@@ -82,13 +96,14 @@ class Layer:
         return Layer("".join(texts), np.concatenate([*first, self.first[at:]]), np.concatenate([*last, self.last[at:]]))
 
 
-def _utf8(raw: bytes) -> tuple[str, list[int]]:
+def _utf8(raw: bytes) -> tuple[str, np.ndarray]:
     """Text of escaped bytes with each character's number of bytes; bytes that are no UTF-8 stand alone."""
     try:
         text = raw.decode()
     except UnicodeDecodeError:
-        return raw.decode("latin-1"), [1] * len(raw)
-    return text, [len(c.encode()) for c in text]
+        return raw.decode("latin-1"), np.ones(len(raw), np.int64)
+    begins = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+    return text, np.diff(begins, append=len(raw))
 
 
 def url_layer(layer: Layer) -> Layer | None:
@@ -117,62 +132,220 @@ def unicode_layer(layer: Layer) -> Layer | None:
     return layer.replaced(parts) if parts else None
 
 
-def _inflated(raw: bytes) -> tuple[bytes, int] | None:
-    """The content of the compressed blob that raw begins with and the blob's length, or None."""
-    if raw[:2] == b"\x1f\x8b":
-        magic, make = raw[:2], lambda: zlib.decompressobj(31)
-    elif len(raw) > 6 and raw[0] == 0x78 and (raw[0] * 256 + raw[1]) % 31 == 0:
-        magic, make = None, zlib.decompressobj
-    elif raw[:3] == b"BZh":
-        magic, make = raw[:3], bz2.BZ2Decompressor
-    elif raw[:6] == b"\xfd7zXZ\x00":
-        magic, make = raw[:6], lzma.LZMADecompressor
-    else:
-        return None
-    content, rest = [], raw
-    while not content or magic and rest.startswith(magic):
-        try:
-            one = make()
-            part = one.decompress(rest)
-        except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError):
-            break
-        if not one.eof:
-            break
-        content.append(part)
-        rest = one.unused_data
-    return (b"".join(content), len(raw) - len(rest)) if content else None
-
-
-def packed_layers(layer: Layer, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> Iterator[Layer]:
-    """Contents of compressed blobs in raw, whose byte i covers starts[i] to ends[i] of the layer."""
-    at = 0
+class Damaged(Exception):
+    """A stream that is no compressed blob, or is cut off."""
+
+
+class _Zlib:
+    """zlib's decompressor with the interface of bz2's and lzma's."""
+
+    def __init__(self, bits: int):
+        self.z = zlib.decompressobj(bits)
+
+    def decompress(self, data: bytes, most: int) -> bytes:
+        return self.z.decompress(self.z.unconsumed_tail + data, most)
+
+    needs_input = property(lambda self: not self.z.unconsumed_tail)
+    eof = property(lambda self: self.z.eof)
+    unused_data = property(lambda self: self.z.unused_data)
+
+
+def _decompressor(head: bytes) -> tuple[bytes, Callable] | None:
+    """How a blob begins if another may follow it, and what unpacks it."""
+    if head[:3] == b"\x1f\x8b\x08":
+        return head[:2], lambda: _Zlib(31)
+    if len(head) > 6 and head[0] == 0x78 and (head[0] * 256 + head[1]) % 31 == 0:
+        return b"", lambda: _Zlib(15)
+    if head[:3] == b"BZh":
+        return head[:3], bz2.BZ2Decompressor
+    if head[:6] == b"\xfd7zXZ\x00":
+        return head[:6], lambda: lzma.LZMADecompressor(memlimit=XZ_BYTES)
+    return None
+
+
+def inflated(chunks: Iterator[bytes], left: list[int] | None = None) -> Iterator[bytes]:
+    """The content of the blob that a stream of bytes begins with, piece by piece; Damaged if there's
+    none, or it's cut off. left gets the number of bytes that were read and not used."""
+    data = next(chunks, b"")
+    while len(data) < 8 and (more := next(chunks, b"")):
+        data += more
+    if (found := _decompressor(data)) is None:
+        raise Damaged
+    magic, make = found
+    first = True
+    while True:
+        one = make()
+        while not one.eof:
+            try:
+                part = one.decompress(data, WINDOW)
+            except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError) as e:
+                if first:
+                    raise Damaged from e
+                return
+            data = b""
+            if part:
+                yield part
+            elif not one.eof and one.needs_input and not (data := next(chunks, b"")):
+                if first:
+                    raise Damaged
+                return
+        data, first = one.unused_data, False
+        if left is not None:
+            left[:] = [len(data)]
+        if not magic or not data.startswith(magic):
+            return
+
+
+def blob_ends(raw: bytes) -> Iterator[tuple[int, int | None]]:
+    """(start, end) of each compressed blob in raw; end is None for one that goes on past its end."""
+    at, view = 0, memoryview(raw)
     while (m := MAGIC.search(raw, at)) is not None:
-        at = m.start() + 1
-        found = _inflated(raw[m.start() :])
-        if found is None:
+        start = m.start()
+        at = start + 1
+        fed, left = [start], [0]
+
+        def chunks(fed=fed) -> Iterator[bytes]:
+            while fed[0] < len(view):
+                piece = bytes(view[fed[0] : fed[0] + (1 << 16)])
+                fed[0] += len(piece)
+                yield piece
+
+        try:
+            for _ in inflated(chunks(), left):
+                pass
+        except Damaged as e:
+            if e.__cause__ is None and fed[0] >= len(view) and _decompressor(raw[start : start + 8]):
+                yield start, None
             continue
-        inner, used = found
-        while (deeper := _inflated(inner)) is not None:
-            inner = deeper[0]
-        text = _utf8(inner)[0]
-        at = m.start() + used
-        yield Layer(text, np.full(len(text), layer.first[starts[m.start()]]), np.full(len(text), layer.last[ends[at - 1] - 1]))
+        at = fed[0] - left[0]
+        yield start, at
+
+
+Source = Callable[[], Iterator[bytes]]
+
+
+def _skipped(chunks: Iterator[bytes], offset: int) -> Iterator[bytes]:
+    for chunk in chunks:
+        if offset < len(chunk):
+            yield chunk[offset:]
+        offset = max(offset - len(chunk), 0)
+
 
+def _unpacked_at(source: Source, offset: int) -> Source:
+    return lambda: inflated(_skipped(source(), offset))
 
-def escaped_blobs(layer: Layer) -> Iterator[Layer]:
-    """Contents of compressed blobs written with URL or backslash escapes, plain characters between."""
+
+def _decoded_at(source: Source, offset: int) -> Source:
+    """What the base64 that begins at an offset of a source decodes to, up to its end."""
+
+    def run() -> Iterator[bytes]:
+        held = b""
+        for chunk in _skipped(source(), offset):
+            end = NOT_BASE64.search(chunk)
+            held += bytes(chunk[: end.start()] if end else chunk).translate(URL_SAFE, b" \t\r\n")
+            whole = len(held) // 4 * 4
+            yield base64.b64decode(held[:whole])
+            held = held[whole:]
+            if end:
+                break
+        if len(held) > 1:
+            yield base64.b64decode(held + b"=" * (-len(held) % 4))
+
+    return run
+
+
+def _safe_end(held: bytes) -> int:
+    """Where a window may end in its second half; 0 if nowhere."""
+    half = len(held) // 2
+    if m := LAST_BREAK.match(held, half):
+        return m.end()
+    at = held.rfind(b"\n", half)
+    while at >= 0:
+        if not BASE64_LINE.match(held, held.rfind(b"\n", 0, at) + 1, at):
+            return at + 1
+        at = held.rfind(b"\n", half, at)
+    return 0
+
+
+def _windows(chunks: Iterator[bytes]) -> Iterator[tuple[bytes, int, bool]]:
+    """(window, its offset, whether it was cut where something may go on) of a content."""
+    held, at = b"", 0
+    for chunk in chunks:
+        held += chunk
+        if len(held) < WINDOW:
+            continue
+        if end := _safe_end(held):
+            yield held[:end], at, False
+            held, at = held[end:], at + end
+        elif len(held) >= LONGEST:
+            yield held, at, True
+            held, at = held[-OVERLAP:], at + len(held) - OVERLAP
+    if held:
+        yield held, at, False
+
+
+def _read(source: Source, found: set[str], seen: set[bytes]) -> Iterator[Source]:
+    """Adds the kinds of secrets of a content to found, and yields the contents found in it."""
+    digest, later, known = hashlib.sha256(), [], set()
+    for window, at, cut in _windows(source()):
+        digest.update(window[:-OVERLAP] if cut else window)
+        blobs = []
+        for a, b in blob_ends(window):
+            if b is None:
+                later.append(_unpacked_at(source, at + a))
+            else:
+                blobs.append(window[a:b])
+        if cut:
+            run = m.end() if (m := LAST_OTHER.match(window)) else 0
+            if (run or not at) and run < len(window) - OVERLAP:
+                later += [_decoded_at(source, at + run + k) for k in range(4)]
+        if (key := hashlib.sha256(window).digest()) in known:
+            continue  # a content that inflates far repeats itself
+        known.add(key)
+        n = len(window)
+        text = Layer(window.decode("latin-1"), np.zeros(n, np.int32), np.ones(n, np.int32))
+        del window
+        found.update(k for k, _, _ in scan_layer(text.text))
+        for child, _ in _layers(text, {}, blobs):
+            found.update(k for k, _, _ in scan_layer(child.text))
+        del text
+        while blobs:
+            blob = blobs.pop()
+            if (key := hashlib.sha256(blob).digest()) not in seen:
+                seen.add(key)
+                yield lambda blob=blob: inflated(iter((blob,)))
+    if later and digest.digest() not in seen:
+        seen.add(digest.digest())
+        yield from later
+
+
+def packed_kinds(blob: bytes) -> set[str]:
+    """The kinds of secrets in a compressed blob, at any depth."""
+    found: set[str] = set()
+    seen = {hashlib.sha256(blob).digest()}
+    stack = [_read(lambda: inflated(iter((blob,))), found, seen)]
+    while stack and len(found) < len(KINDS):
+        try:
+            stack.append(_read(next(stack[-1]), found, seen))
+        except (StopIteration, Damaged):
+            stack.pop()
+    return found
+
+
+def escaped_bytes(layer: Layer) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+    """Bytes written with URL or backslash escapes, plain characters between, and the places of each."""
     for sign, run, one in (("%", URL_BYTES, URL_BYTE), ("\\", ESCAPED_BYTES, ESCAPED_BYTE)):
         if sign not in layer.text:
             continue
         for m in run.finditer(layer.text):
             if sign not in m[0]:
                 continue
-            raw, starts, ends = bytearray(), [], []
+            raw, starts, ends = bytearray(), array("i"), array("i")
             for x in one.finditer(m[0]):
                 raw.append(int(x["hex"], 16) if x["hex"] else SIMPLE.get(x["simple"], ord(x["simple"])) if x["simple"] else ord(x[0]))
                 starts.append(x.start() + m.start())
                 ends.append(x.end() + m.start())
-            yield from packed_layers(layer, bytes(raw), np.array(starts), np.array(ends))
+            yield bytes(raw), np.array(starts), np.array(ends)
 
 
 def _tokens(text: str) -> Iterator[tuple[str, np.ndarray]]:
@@ -191,7 +364,8 @@ def _tokens(text: str) -> Iterator[tuple[str, np.ndarray]]:
                     yield token[a:], places[a:]
 
 
-def base64_layers(layer: Layer) -> Iterator[Layer]:
+def base64_bytes(layer: Layer) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+    """What base64 tokens decode to, and the places of each byte."""
     for token, places in _tokens(layer.text):
         token = token[: len(token) - (len(token) % 4 == 1)]
         try:
@@ -199,12 +373,51 @@ def base64_layers(layer: Layer) -> Iterator[Layer]:
         except (binascii.Error, ValueError):
             continue
         at = np.arange(len(raw))
-        yield from packed_layers(layer, raw, places[at * 4 // 3], places[np.minimum(-(-(at + 1) * 4 // 3), len(token)) - 1] + 1)
-        text, sizes = _utf8(raw)
-        if text:
-            ends = np.cumsum(sizes)
-            begins = np.concatenate([[0], ends[:-1]])
-            yield Layer(text, layer.first[places[begins * 4 // 3]], layer.last[places[np.minimum(-(-ends * 4 // 3), len(token)) - 1]])
+        yield raw, places[at * 4 // 3], places[np.minimum(-(-(at + 1) * 4 // 3), len(token)) - 1] + 1
+
+
+def _layers(root: Layer, known: dict[bytes, set[str]], blobs: list[bytes] | None = None) -> Iterator[tuple[Layer | None, set | list]]:
+    """The worklist: each new layer under a root, and (None, spans) of the compressed blobs in it.
+
+    With blobs, a list, compressed blobs are put there instead.
+    """
+    n = len(root.text)
+    work, seen = [root], {(root.text, 0, n)} if n else set()
+
+    def packed(layer: Layer, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> list[Span]:
+        out = []
+        for a, b in blob_ends(raw):
+            if b is None:
+                continue
+            if blobs is not None:
+                blobs.append(raw[a:b])
+                continue
+            if (key := hashlib.sha256(raw[a:b]).digest()) not in known:
+                known[key] = packed_kinds(raw[a:b])
+            out += [(k, int(layer.first[starts[a]]), int(layer.last[ends[b - 1] - 1])) for k in known[key]]
+        return out
+
+    while work:
+        layer = work.pop()
+        children = [url_layer(layer), unicode_layer(layer)]
+        for raw, starts, ends in escaped_bytes(layer):
+            if spans := packed(layer, raw, starts, ends):
+                yield None, spans
+        for raw, starts, ends in base64_bytes(layer):
+            if spans := packed(layer, raw, starts, ends):
+                yield None, spans
+            text, sizes = _utf8(raw)
+            if text:
+                last = np.cumsum(sizes) - 1
+                children.append(Layer(text, layer.first[starts[last + 1 - sizes]], layer.last[ends[last] - 1]))
+        for child in children:
+            if child is None or not child.text:
+                continue
+            key = (child.text, int(child.first[0]), int(child.last[-1]))
+            if key not in seen:
+                seen.add(key)
+                work.append(child)
+                yield child, []
 
 
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
@@ -216,19 +429,8 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
         return base, base
     found = set(base)
     n = len(text)
-    work = [Layer(text, np.arange(n), np.arange(1, n + 1))]
-    seen = {(text, 0, n)}
-    while work:
-        layer = work.pop()
-        for child in (url_layer(layer), unicode_layer(layer), *escaped_blobs(layer), *base64_layers(layer)):
-            if child is None or not child.text:
-                continue
-            key = (child.text, int(child.first[0]), int(child.last[-1]))
-            if key in seen:
-                continue
-            seen.add(key)
-            found.update((k, int(child.first[a]), int(child.last[b - 1])) for k, a, b in scan_layer(child.text))
-            work.append(child)
+    for child, spans in _layers(Layer(text, np.arange(n, dtype=np.int32), np.arange(1, n + 1, dtype=np.int32)), {}):
+        found.update(spans if child is None else ((k, int(child.first[a]), int(child.last[b - 1])) for k, a, b in scan_layer(child.text)))
     return sorted(base, key=order), sorted(found, key=order)
 
 

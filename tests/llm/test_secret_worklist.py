@@ -2,9 +2,14 @@ import base64
 import bz2
 import gzip
 import hashlib
+import lzma
+import random
 import re
+import subprocess
+import sys
 import urllib.parse
 import zlib
+from pathlib import Path
 
 import pytest
 
@@ -62,6 +67,73 @@ def test_layers_that_were_missed(name):
     assert found and all(start <= a < b <= start + len(MISSED[name]) for _, a, b in found)
 
 
+@pytest.mark.parametrize("lead", ["x/", "key_", "key-", "a/b/"])
+def test_base64_behind_a_separator(lead):
+    for n in range(3):
+        text = f"see {lead}{B64(SECRET + 'z' * n)} there"
+        assert any(k == "assign" and a >= 4 for k, a, _ in S.all_spans(text)[1])
+
+
+def nested(data, depth):
+    for _ in range(depth):
+        data = gzip.compress(data)
+    return data
+
+
+FILLER = [b"lorem ipsum dolor, ", b"0123456789abcdeg", b"line of words\n", bytes(range(256))]
+WITHIN = {
+    "plain": SECRET.encode(), "base64": B64(SECRET).encode(), "gzip": gzip.compress(SECRET.encode()), "gzip in base64": B64(bz2.compress(SECRET.encode())).encode(), "url": urllib.parse.quote(SECRET, safe="").encode(), "deep": nested(SECRET.encode(), 120),
+    "long base64": b"~" + B64("x" * 3000 + SECRET + "y" * 200_000).encode() + b"~", "long gzip": gzip.compress(random.Random(0).randbytes(150_000) + SECRET.encode()), "long gzip in lines": WRAP(B64(gzip.compress(random.Random(0).randbytes(50_000) + SECRET.encode()))).encode(),
+}
+
+
+@pytest.mark.parametrize("name", WITHIN)
+@pytest.mark.parametrize("filler", range(4))
+def test_contents_are_read_in_windows(name, filler, monkeypatch):
+    monkeypatch.setattr(S, "WINDOW", 4096)
+    monkeypatch.setattr(S, "LONGEST", 16384)
+    monkeypatch.setattr(S, "OVERLAP", 1024)
+    for before, packs in ((0, (gzip.compress,)), (517, (bz2.compress, lzma.compress)), (9000, (zlib.compress,))):
+        content = FILLER[filler] * (before // len(FILLER[filler])) + b" " + WITHIN[name] + b" " + FILLER[filler] * 300
+        for pack in packs:
+            assert "assign" in S.packed_kinds(pack(content)), (before, pack)
+
+
+def test_damaged_and_cut_blobs_are_left_alone():
+    blob = gzip.compress(MORE.encode())
+    assert S.packed_kinds(blob[:-9]) in ({"assign"}, set()) and S.all_spans("a " + B64(blob[:-9]) + " b")[1] == []
+    assert list(S.blob_ends(b"xx" + blob + b"yy")) == [(2, 2 + len(blob))] and list(S.blob_ends(blob[:-1])) == [(0, None)]
+    assert [e for _, e in S.blob_ends(blob + blob)] == [2 * len(blob)] and list(S.blob_ends(b"x\x9c" + b"\xff" * 50)) == []
+
+
+def test_a_blob_is_read_once_however_often_it_occurs(monkeypatch):
+    read, inner = [], gzip.compress(b"xyz" * 100, mtime=0)
+    monkeypatch.setattr(S, "_read", lambda *a, f=S._read: read.append(1) or f(*a))
+    assert S.packed_kinds(gzip.compress(b"~".join([inner + b"q"] * 50))) == set() and len(read) == 2
+
+
+SIZE = """
+import base64, resource, sys, zlib
+sys.path.insert(0, {root!r})
+from mixweave.llm.secret_worklist import all_spans
+z, parts = zlib.compressobj(9), []
+for _ in range(200):
+    parts.append(z.compress(b"0 " * (1 << 19)))
+parts += [z.compress({secret!r}), z.compress(b"a" * (20 << 20)), z.flush()]
+token = base64.b64encode(b"".join(parts)).decode()
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+assert [s for s in all_spans("x " + token + " y")[1] if s[0] == "assign"] == [("assign", 2, 2 + len(token) - token.count("="))], all_spans("x " + token + " y")
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+
+
+def test_a_blob_of_200_mb_needs_little_memory():
+    root = str(Path(__file__).resolve().parents[2])
+    done = subprocess.run([sys.executable, "-c", SIZE.format(root=root, secret=b" " + SECRET.encode() + b" ")], capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) < 500
+
+
 def test_url_and_unicode_spans_are_exact():
     text = "xx p%61ssword=abcdef yy"
     assert S.all_spans(text) == ([], [("assign", 3, 20)])
