@@ -3,12 +3,15 @@
 A page is parsed into a DOM with HTML's implied end tags. Nodes that are boilerplate by element,
 role, class or id are cut; in the text, ambiguous names only if what they hold confirms it. Each
 other node gets its characters per tag, adjusted by its links, and the sum of its children's
-densities. The node with the largest sum is the seed; the smallest density on its path to the body
-is the threshold, and siblings of that path that reach it are kept as well.
+densities. The node with the largest sum is the seed, and the smallest density on its path to the
+body is the threshold. What stands beside the path goes unless it reaches the threshold or belongs
+to the text: bare text, what shares an article element with the seed, paragraphs and headed sections
+that aren't mostly links, and headings of what is kept.
 
 Defined results: a null or empty page has an empty text; pages without body tags, with unclosed
 tags or stray end tags are read as browsers do; white space inside a block becomes one space, <br>
-included; repeated rows each get a row; other columns are kept.
+included; repeated rows each get a row; other columns are kept. Of nodes with equal sums the
+outermost and first is the seed. Very deep and very long pages are read whole, without recursion.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,6 +36,7 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td template tfoot th thead title tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dd blockquote pre table figcaption".split())
 CLOSES_P = BLOCK - frozenset("body head html td th tr tbody thead tfoot option optgroup legend title template".split())
 #: An end tag that is implied: a start tag of the key closes an open one of the values, within the scope.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "optgroup"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"})}
@@ -41,17 +46,25 @@ SCOPE = frozenset("html body table td th caption article section main div templa
 CUT_ELEMENTS = frozenset("head script style noscript template nav footer aside form button select input textarea iframe object embed svg canvas audio video dialog menu title xmp noembed noframes datalist map".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tablist status".split())
 _CUT_WORD = re.compile(
-    r"(?:ads?|adv|advert\w*|adsense|dfp|\w*banner|sponsor\w*|promo\w*|comments?|commentlist|\w+comments?|discussion|disqus|replies|reply|respond|responses|\w*sidebar\w*|side|rail|nav\w*|menus?|breadcrumbs?|header|masthead|footer|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|signup|paywall|share|sharing|social|related|recommend\w*|widgets?|toolbar|pager|pagination|skip|login|search|copyright|disclaimer|outbrain|taboola|feedback|ratings?|toc)\Z"
+    r"(?:ads?|adv|advert\w*|adsense|dfp|\w*banner|sponsor\w*|promo\w*|comments?|commentlist|\w+comments?|discussion|disqus|replies|reply|respond|responses|\w*sidebar\w*|side|rail|nav|navs|navbar|navigation|menus?|breadcrumbs?|header|masthead|footer|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|signup|paywall|share|sharing|social|related|recommend\w*|widgets?|toolbar|pager|pagination|skip|login|search|copyright|disclaimer|outbrain|taboola|feedback|ratings?|toc)\Z"
 )
 #: Of those, words that name ordinary parts of a text as well, and names that nothing else bears.
-_AMBIGUOUS = re.compile(r"(?:discussion|replies|reply|respond|responses|side|rail|notices?|alerts?|share|sharing|social|related|recommend\w*|skip|search|copyright|disclaimer|feedback|ratings?|nav(?!bar|igation|s?\Z)\w+)\Z")
+_AMBIGUOUS = re.compile(r"(?:discussion|replies|reply|respond|responses|side|rail|notices?|alerts?|share|sharing|social|related|recommend\w*|skip|search|copyright|disclaimer|feedback|ratings?)\Z")
 _VENDOR = re.compile(r"(?:adsense|dfp|commentlist|disqus|gdpr|outbrain|taboola)\Z")
+#: Words that a boilerplate name may hold besides; with any other word it names something else.
+_NEUTRAL = re.compile(
+    r"(?:\d+|[a-z]|the|of|and|to|us|this|site|page|web|main|primary|secondary|global|local|top|bottom|left|right|middle|mid|upper|lower|col|column|list|lists|links?|items?|buttons?|btns?|bar|bars|box|boxes|blocks?|wrap|wrapper|container|inner|outer|holder|section|area|panel|pane|zone|slots?|unit|units|row|grid|group|entry|entries|posts?|articles?|stories|story|content|body|text|form|field|icons?|title|heading|label|message|messages|msg|info|user|users|reader|readers|thread|threads|tree|view|views|count|counts|load|lazy|mobile|desktop|sticky|fixed|small|large|mini|wide|full|js|ui|module|component|region|policy|more|you|may|like|also|next|prev|previous|old|new|latest|popular|default|style|ar|type|media|network|google|gpt|square|leaderboard|skyscraper|in|on|by|leave|trail|center|drop|down|dropdown|toggle|hidden|visible|print|no)\Z"
+)
 #: Characters of text that a class of an ambiguous name needs to count as part of the article.
 PROSE_CHARS = 80
 _NOT_OWN = re.compile(r"(?:has|with|no|without|is)\Z")
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|style|aria-hidden|aria-label)(?![\w-])(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 #: A heading that opens reader comments.
 _COMMENTS = re.compile(r"(?:\d+\s+)?(?:reader\s+|user\s+)?(?:comments?|responses|replies)(?:\s*\(?\d+\)?)?:?\Z|leave a (?:reply|comment)\Z", re.I)
+#: What stands in small print beside an article.
+_SMALL_PRINT = re.compile(r"\u00a9|\(c\)|copyright|all rights reserved|\bcookies?\b|subscribe|newsletter|sign up|advertisement|sponsored", re.I)
+SMALL_PRINT_CHARS = 200
+_LETTER = re.compile(r"[^\W\d_]")
 _ARTICLE = re.compile(r"<(?:article|main)\b", re.I)
 _AMBIGUOUS_TITLE = re.compile(r"(?:responses|replies):?\Z", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -60,13 +73,15 @@ _TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA
 
 
 class Node:
-    __slots__ = ("name", "children", "cut", "chars", "tags", "link_chars", "link_tags", "density", "total", "top", "parent", "suspect")
+    __slots__ = ("name", "children", "cut", "chars", "tags", "link_chars", "link_tags", "density", "total", "top", "parent", "suspect", "in_article", "foreign")
 
     def __init__(self, name: str, parent: Node | None, cut: bool = False):
         self.name, self.parent, self.cut = name, parent, cut
         self.children: list[Node | str] = []
         self.top: Node = self
         self.suspect = ""
+        self.in_article = name in ("article", "main") or parent is not None and parent.in_article
+        self.foreign = name in ("svg", "math") or parent is not None and parent.foreign
 
 
 def _is_cut(name: str, attrs: str, in_article: bool, in_text: bool) -> bool | str:
@@ -93,7 +108,7 @@ def _is_cut(name: str, attrs: str, in_article: bool, in_text: bool) -> bool | st
         for token in [value] if in_text and key == "aria-label" else value.split():
             words = [w.lower() for w in _WORDS.findall(token)]
             named = [w for w in words if _CUT_WORD.match(w) and not (in_article and w == "header")]
-            if not named or _NOT_OWN.match(words[0]):
+            if not named or _NOT_OWN.match(words[0]) or not all(w in named or _NEUTRAL.match(w) for w in words):
                 continue
             if name == "article" and not any(w.startswith(("comment", "repl", "respon", "promo", "ad", "sponsor", "related")) for w in words):
                 return False
@@ -111,7 +126,10 @@ def parse(page: str) -> Node:
     whole = not _ARTICLE.search(page)  # without an article's element, the text may be anywhere
     at, n = 0, len(page)
 
+    opened = Counter(["html"])
+
     def pop_to(i: int) -> None:
+        opened.subtract(x.name for x in stack[i:])
         del stack[i:]
 
     for_tag = _TAG.search
@@ -130,7 +148,7 @@ def parse(page: str) -> Node:
             continue
         closing, attrs = bool(m[1] or m[4]), m[3] if m[2] else m[6]
         if closing:
-            if name in ("html", "body"):
+            if name in ("html", "body") or not opened[name]:
                 continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name == name:
@@ -140,10 +158,10 @@ def parse(page: str) -> Node:
                     break
             continue
         if name in ("html", "body"):
-            if name == "body" and "head" in (x.name for x in stack):
+            if name == "body" and opened["head"]:
                 pop_to(next(i for i, x in enumerate(stack) if x.name == "head"))
             continue
-        if name in CLOSES_P:
+        if name in CLOSES_P and opened["p"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name == "p":
                     pop_to(i)
@@ -162,17 +180,19 @@ def parse(page: str) -> Node:
                     if name not in ("tr", "tbody", "tfoot"):
                         break
         parent = stack[-1]
-        in_article = any(x.name in ("article", "main") for x in stack)
-        cut = parent.cut or _is_cut(name, attrs or "", in_article, in_article or whole)
+        cut = parent.cut or _is_cut(name, attrs or "", parent.in_article, parent.in_article or whole)
         node = Node(name, parent, cut is True)
         if cut is not True and cut:
             node.suspect = cut
         parent.children.append(node)
-        if name in RAW and not (attrs or "").endswith("/"):
+        if node.foreign and (attrs or "").endswith("/"):
+            continue  # svg and math have tags that close themselves
+        if name in RAW and not node.foreign:
             end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
             at = end.end() if end else n
         elif name not in VOID:
             stack.append(node)
+            opened[name] += 1
     return root
 
 
@@ -246,41 +266,71 @@ def _inside(node: Node, name: str) -> bool:
     return False
 
 
-def chosen(root: Node) -> list[Node]:
-    """The subtree with the largest density sum and the siblings of its path that reach the threshold."""
-    cut_comments(root)
-    cut_suspects(root)
+def _linked(node: Node) -> bool:
+    return node.link_chars * 2 > node.chars
+
+
+def _belongs(node: Node, threshold: float, in_article: bool) -> bool:
+    """Whether a block beside the path is part of the text; headings are judged by what they head."""
+    if not node.chars or _linked(node):
+        return False
+    if in_article or node.density >= threshold:
+        return True
+    if node.chars < SMALL_PRINT_CHARS and _SMALL_PRINT.search(" ".join(blocks(node))):
+        return False
+    return any(x.name in PROSE and x.chars and not _linked(x) for x in _walk(node))
+
+
+def keep_text(root: Node) -> None:
+    """Cut what isn't in the subtree with the largest density sum, nor beside its path and part of the text."""
     measure(root)
-    seed = root.top
-    article = next((x for x in _walk(root) if x.name in ("main", "article")), None)
-    path = [seed]
+    path = [root.top]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-    if article is not None and any(x in path for x in _walk(article)):
-        while len(path) > 1 and path[0] is not article and article in path:
-            path.pop(0)  # the article's own element holds whole what was found inside it
-        if path[0] is article:
-            if article.name == "main":  # what is beside the article in it goes if it is mostly links
-                for c in article.children:
-                    if not isinstance(c, str) and not c.cut and c.link_chars * 2 > c.chars and c is not seed and seed not in _walk(c):
-                        c.cut = True
-            return [article]
     threshold = min(x.density for x in path)
-    taken, on = [], set(path)
-
-    def visit(node: Node) -> None:
-        for c in node.children:
-            if isinstance(c, str) or c.cut:
+    on = set(path)
+    if not path[0].in_article or path[0].name == "main":
+        for c in path[0].children:  # lists of links that the seed holds beside its text
+            if not isinstance(c, str) and c.name in BLOCK and c.name not in PROSE and not c.cut and _linked(c) and any(not isinstance(x, str) and not x.cut and x.name in BLOCK for x in c.children):
+                c.cut = True
+    for node in path[1:]:
+        in_article = _of_article(node)
+        reach = ""  # headings above this rank have something kept below them
+        for at in range(len(node.children) - 1, -1, -1):  # from the end, so that what a heading heads is known
+            c = node.children[at]
+            if isinstance(c, str):
+                reach = "h9" if c.strip() else reach
+            elif c.cut:
                 continue
-            if c is seed or c not in on and c.density >= threshold and c.link_chars * 2 <= c.chars and c.chars:
-                taken.append(c)
-            elif c in on:
-                visit(c)
+            elif c.name in HEADINGS and c not in on:
+                if in_article or c.name < reach and not _linked(c):
+                    reach = c.name
+                else:
+                    c.cut = True
+            elif c in on or (_belongs(c, threshold, in_article) if c.name in BLOCK else not _linked(c) or _beside_text(node.children, at)):
+                reach = "h9" if c.chars else reach
+            else:
+                c.cut = True
 
-    if seed is root:
-        return [root]
-    visit(root)
-    return taken
+
+def _of_article(node: Node | None) -> bool:
+    """Whether a node is an article element or in one."""
+    while node is not None and node.in_article:
+        if node.name == "article":
+            return True
+        node = node.parent
+    return False
+
+
+def _beside_text(children: list[Node | str], at: int) -> bool:
+    """Whether words stand in an inline element's line, so that it's a link in a sentence."""
+    for step in (-1, 1):
+        i = at + step
+        while 0 <= i < len(children) and (isinstance(x := children[i], str) or x.name not in BLOCK):
+            if isinstance(x, str) and _LETTER.search(x):
+                return True
+            i += step
+    return False
 
 
 def _walk(node: Node) -> Iterator[Node]:
@@ -325,7 +375,11 @@ def blocks(node: Node) -> list[str]:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    return "\n".join(b for node in chosen(parse(page)) for b in blocks(node))
+    root = parse(page)
+    cut_comments(root)
+    cut_suspects(root)
+    keep_text(root)
+    return "\n".join(blocks(root))
 
 
 def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:

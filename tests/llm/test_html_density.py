@@ -1,8 +1,11 @@
 import html
+import math
+import random
 import re
 
 import pytest
 
+from mixweave.llm import html_density
 from mixweave.llm.html_density import extract_text, html_query, main_text
 
 LONG = "This sentence belongs to the article and has a good number of words in it. "
@@ -52,6 +55,91 @@ def test_a_comments_heading_cuts_only_what_it_heads():
     assert main_text(page(f"<article><p>{LONG}</p><section><h2>2 replies</h2><p>A remark.</p></section></article>")) == LONG.strip()
 
 
+TEXT = LONG.strip()
+KEPT = {
+    "bare text": (f"text<div><p>{LONG}</p><p>{LONG}</p></div>tail", ["text", TEXT, TEXT, "tail"]),
+    "title beside": (f"<h1>Title</h1><div><p>{LONG}</p><p>{LONG}</p></div>", ["Title", TEXT, TEXT]),
+    "headed section": (f"<div><p>{LONG}</p><p>{LONG}</p></div><div><h2>Part</h2><p>short</p></div>", [TEXT, TEXT, "Part", "short"]),
+    "two articles": (f"<article><h2>A</h2><p>{LONG}</p><p>{LONG}</p></article><article><h2>B</h2><p>{LONG}</p></article>", ["A", TEXT, TEXT, "B", TEXT]),
+    "slugs": (f'<article><h2 id="related-work">R</h2><p id="search-engines">{LONG}</p><p class="side-effects">x</p><div class="rating-scale">y</div><p>{LONG}</p></article>', ["R", TEXT, "x", "y", TEXT]),
+    "market share": (f'<p>x</p><div class="market-share"><p>{LONG}</p><p>{LONG}</p></div>', ["x", TEXT, TEXT]),
+    "svg": ("<article><svg/><p>after</p></article>", ["after"]),
+    "svg within": (f'<article><svg viewBox="0"><path d="x"/><g><use/></g></svg><p>{LONG}</p></article>', [TEXT]),
+    "links beside": (f'<div><a href="/1">One menu</a> <a href="/2">Two menu</a></div><div><p>{LONG}</p><p>{LONG}</p></div><div><h3>More</h3><ul><li><a href="/3">Another story to read</a></li></ul></div>', [TEXT, TEXT]),
+    "heading of links": (f'<div><p>{LONG}</p><p>{LONG}</p></div><h3>More</h3><ul><li><a href="/3">Another story to read</a></li></ul>', [TEXT, TEXT]),
+    "small print": (f"<div><p>{LONG}</p><p>{LONG}</p></div><div><p>&copy; 2020 Somebody</p></div>", [TEXT, TEXT]),
+    "a link in a sentence": (f'Read <b>all</b> of <a href="/x">the long history of this place</a> there.<div><p>{LONG}</p><p>{LONG}</p></div>', ["Read all of the long history of this place there.", TEXT, TEXT]),
+    "headings of ranks": (f"<h1>T</h1><h2>S</h2><div><p>{LONG}</p><p>{LONG}</p></div><h2>Links</h2><div><a href='/1'>here we go to more</a></div>", ["T", "S", TEXT, TEXT]),
+}
+
+
+@pytest.mark.parametrize("name", KEPT)
+def test_what_belongs_to_the_text(name):
+    body, want = KEPT[name]
+    assert main_text(page(body)).split("\n") == want
+
+
+def test_very_deep_pages_without_an_article():
+    deep = "<div>" * 10_000 + f"<p>{LONG}</p><p>{LONG}</p>" + "</div>" * 10_000
+    assert main_text(page(f"<h1>Title</h1>{deep}")) == f"Title\n{TEXT}\n{TEXT}"
+    assert main_text("<ul><li>" * 3000 + LONG) == TEXT and main_text("<span>" * 5000 + "x" + "</div>" * 5000) == "x"
+
+
+def random_dom(rng, depth=0):
+    """(name, children) of a small DOM: strings and nodes."""
+    out = []
+    for _ in range(rng.randint(1, 4)):
+        if depth == 4 or rng.random() < 0.4:
+            out.append(" ".join(["word"] * rng.randint(1, 30)))
+        else:
+            out.append((rng.choice(["div", "section", "p", "a", "b"]) if depth < 3 else rng.choice(["a", "b"]), random_dom(rng, depth + 1)))
+    return out
+
+
+def test_the_seed_has_the_largest_sum_of_densities():
+    """Densities and their sums anew from every node's own counts."""
+    rng = random.Random(5)
+    for _ in range(200):
+        root = html_density.parse("")
+        made = []
+
+        def build(parent, children, made=made):
+            for c in children:
+                if isinstance(c, str):
+                    parent.children.append(c)
+                else:
+                    node = html_density.Node(c[0], parent)
+                    parent.children.append(node)
+                    made.append(node)
+                    build(node, c[1], made)
+
+        build(root, random_dom(rng))
+        html_density.measure(root)
+
+        def under(node):
+            return [node, *(x for c in node.children if not isinstance(c, str) for x in under(c))]
+
+        def chars(node, linked=False):
+            return sum((len(c) if linked or not isinstance(node, html_density.Node) else 0) if isinstance(c, str) else chars(c, linked or c.name == "a") for c in node.children)
+
+        def density(node):
+            c, t = chars(node, True), len(under(node))
+            lc, lt = chars(node, node.name == "a"), sum(x.name == "a" for x in under(node))
+            whole = chars(root, False) / max(chars(root, True), 1)
+            base = math.log(c * max(lc, 1) / max(c - lc, 1) + whole * c + math.e)
+            return c / t * math.log(max(c * t / (max(lc, 1) * max(lt, 1)), 1)) / math.log(base) if c and base > 1 else 0
+
+        sums = {id(n): sum(len(c) if isinstance(c, str) else density(c) for c in n.children) for n in [root, *made]}
+        assert all(abs(n.density - density(n)) < 1e-9 for n in made if not any(p.name == "a" for p in ancestors(n)))
+        if not any(n.name == "a" and any(x.name == "a" for x in under(n)[1:]) for n in made):
+            assert sums[id(root.top)] == pytest.approx(max(sums.values()))
+
+
+def ancestors(node):
+    while (node := node.parent) is not None:
+        yield node
+
+
 SLUGS = ['<section id="discussion">', '<section id="advertising-history">', '<section aria-label="Search for missing ships">', '<div class="side-effects">', '<section class="discussion">', '<section class="navajo-history">']
 
 
