@@ -62,7 +62,7 @@ def test_links_equal_all_pairs(spark, small, monkeypatch):
 
 
 def test_pairs_that_no_window_meets(spark, monkeypatch):
-    monkeypatch.setattr(P, "TILE_BYTES", 24 * 4 * 30, raising=False)  # several tiles of a label
+    monkeypatch.setattr(P, "TILE_BYTES", 24 * 8 * 30)  # several tiles of a label
     rows = clustered(3)
     links, component = brute_links(rows)
     out = {r["vec_id"]: r for r in P.near_duplicates(frame(spark, rows), passes=1, window=1).collect()}
@@ -70,6 +70,33 @@ def test_pairs_that_no_window_meets(spark, monkeypatch):
     assert {i: r["component_id"] for i, r in out.items()} == component
 
 
+def test_text_labels_long_labels_and_doubles(spark):
+    near = float(np.cos(np.arccos(0.98) + 1e-9)), float(np.sin(np.arccos(0.98) + 1e-9))  # below the threshold in double, not in single precision
+    over = float(np.cos(np.arccos(0.98) - 1e-9)), float(np.sin(np.arccos(0.98) - 1e-9))
+    for kind, x, y in (("string", "a", "b"), ("long", 1 << 40, (1 << 40) + (1 << 32)), ("date", __import__("datetime").date(2020, 1, 1), __import__("datetime").date(2021, 1, 1))):
+        rows = [(1, [1.0, 0.0], x), (2, list(over), x), (3, [1.0, 0.0], y), (4, list(near), y), (5, [1.0, 0.0], None)]
+        out = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in P.near_duplicates(spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}")).collect()}
+        assert out == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4), 5: (0, 5)}
+
+
+def test_tiles_that_are_apart_are_not_compared(spark, monkeypatch):
+    """Tight groups in tiles of their own: most pairs of tiles go, and no link is lost."""
+    monkeypatch.setattr(P, "TILE_BYTES", 24 * 8 * 10)
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(8, 24))
+    rows = [(i, (centers[i % 8] + 0.02 * rng.normal(size=24)).tolist(), 0) for i in range(400)]
+    members = spark.createDataFrame([(i, 0, 24, i, 1, v) for i, v, _ in rows], "cls long, label long, dim int, component long, rows long, embedding array<double>")
+    seen = []
+    monkeypatch.setattr(P, "stage", lambda df, name, f=P.stage: seen.append((name, f(df, name))) or seen[-1][1])
+    linked = {r["a"]: r["n"] for r in P.compare_all(members, 0.98).where("b is null").groupBy("a").agg(F.sum("linked").alias("n")).collect()}
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.98).sum(1) - 1
+    assert linked == {i: n for i, n in enumerate(want.tolist()) if n}
+    pairs = next(df for name, df in seen if name == "projection-tiles").count()
+    assert pairs < 0.4 * 40 * 41 / 2
+
+
 EDGES = [(1, [1, 0], 0), (2, [1, 0], 0), (3, [1, 0], 1), (4, [1, 0], None), (5, None, 0), (6, [], 0), (7, [0, 0], 0), (8, [NAN, 1], 0), (9, [INF, 1], 0), (10, [None, 1], 0), (11, [1, 0, 0], 0), (12, [1e-30, 0], 0), (None, [1, 0], 0), (20, [0, 1], 1), (20, [0, 1], 1)]
 
 
