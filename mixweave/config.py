@@ -1,4 +1,7 @@
-"""Layered configuration with the defaults of the method."""
+"""Layered configuration.
+
+Fixed values: the defaults are those of the method.
+"""
 
 from __future__ import annotations
 
@@ -16,6 +19,7 @@ class DiscoveryConfig:
     prune_threshold: float = 3.0
     merge_distance: float = 1.5
     embedding_dim: int = 64
+    measure: str = "cosine"
     seed: int = 42
 
 

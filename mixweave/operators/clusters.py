@@ -147,22 +147,30 @@ def propagate(docs: DataFrame, sampled: Column) -> DataFrame:
     return docs.join(dominant, "domain", "left").withColumn("cluster_id", mine.cast("int")).drop("dominant")
 
 
-def nearest_centroid(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    """vectors with the id of the centroid of largest inner product, the smallest id of equal ones.
+def nearest_centroid(vectors: DataFrame, centroids: DataFrame, measure: str = "cosine") -> DataFrame:
+    """vectors with the id of the centroid of largest inner product, or by the measure "euclidean" the
+    nearest one, the smallest id of equal ones; score is the inner product.
 
     There are as many centroids as were fitted, by configuration; they go along with the task, and a
-    batch of vectors meets them in one matrix product of doubles.
+    batch of vectors meets them in one matrix product of doubles. A vector that is null, of another
+    length or with a null component is in no cluster and has no score.
     """
     rows = sorted((r["cluster_id"], r["centroid"]) for r in centroids.select("cluster_id", "centroid").collect())
     ids, matrix = np.array([i for i, _ in rows], np.int32), np.array([c for _, c in rows], float)
+    lengths = (matrix * matrix).sum(1) / 2 if measure == "euclidean" and len(rows) else 0.0
     names = [c for c in vectors.columns if c not in ("cluster_id", "score")]
     schema = T.StructType([*vectors.select(*names).schema.fields, T.StructField("cluster_id", T.IntegerType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = batch.column(names.index("embedding")).flatten().to_numpy(zero_copy_only=False).astype(float)
-            scores = flat.reshape(batch.num_rows, -1) @ matrix.T
-            best = scores.argmax(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids[best]), pa.array(scores[np.arange(len(best)), best])], names=[*names, "cluster_id", "score"])
+            column = batch.column(names.index("embedding"))
+            values = [x.values for x in column]
+            sound = np.array([v is not None and len(v) == matrix.shape[-1] and not v.null_count for v in values], bool)
+            best, score = np.full(len(values), -1, np.int32), np.full(len(values), np.nan)
+            if sound.any() and len(ids):
+                scores = np.array([v.to_numpy() for v, ok in zip(values, sound, strict=True) if ok], float) @ matrix.T
+                top = (scores - lengths).argmax(1)
+                best[sound], score[sound] = ids[top], scores[np.arange(len(top)), top]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best), pa.array(score, mask=~sound)], names=[*names, "cluster_id", "score"])
 
     return vectors.select(*names).mapInArrow(run, schema)

@@ -109,8 +109,8 @@ class EmbeddingClusterDiscovery(ClusterDiscovery):
         part = docs if not c.sample_size else hash_sample(docs, c.sample_size, c.seed)
         own = "embedding" in docs.columns
         vectors = self.embed(part) if self.embed else part if own else hashed_embeddings(part, c.embedding_dim)
-        centroids = fit_centroids(vectors, c.k_init, restarts=self.restarts, seed=c.seed)
-        labelled = nearest_centroid(vectors, centroids).drop("score", *([] if own else ["embedding"]))
+        centroids = fit_centroids(vectors, c.k_init, c.measure, restarts=self.restarts, seed=c.seed)
+        labelled = nearest_centroid(vectors, centroids, c.measure).drop("score", *([] if own else ["embedding"]))
         pruned = prune(labelled, quality, c.prune_threshold, keep_all_if_none=True)
         new_centroids = nearest_labels(labelled, pruned, centroids)
         merged, centroids = merge_clusters(pruned, new_centroids, c.k_enhanced, c.merge_distance)

@@ -43,6 +43,12 @@ def mixture_scores(results: DataFrame, configs: DataFrame, benchmarks: Sequence[
     return parts.groupBy("config_id").agg((F.sum(F.col("w") * F.col("acc_z") + (1 - F.col("w")) * F.col("nll_z")) / len(benchmarks)).alias("score"))
 
 
+def spread(results: DataFrame) -> DataFrame:
+    """(benchmark, mean, deviation, variance, best) of accuracies; best is the first configuration with the highest."""
+    best = F.max(F.struct("acc", (-F.col("config_id")).alias("first")))["first"]
+    return results.groupBy("benchmark").agg(F.avg("acc").alias("mean"), F.stddev_pop("acc").alias("deviation"), F.var_pop("acc").alias("variance"), (-best).alias("best"))
+
+
 def r2_score(rows: DataFrame, target: str, predicted: str) -> DataFrame:
     sums = rows.agg(F.sum((F.col(target) - F.col(predicted)) ** 2).alias("sse"), (F.var_pop(target) * F.count("*")).alias("sst"))
     return sums.select((1 - F.col("sse") / F.col("sst")).alias("r2"))

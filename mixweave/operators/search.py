@@ -54,6 +54,11 @@ def novel(pool: np.ndarray, tried: np.ndarray, digits: int = 4) -> np.ndarray:
     return pool[fresh] if fresh else pool
 
 
+def top_candidates(pool: np.ndarray, predictor: Predictor, most: int) -> np.ndarray:
+    """Positions of the candidates with the lowest predictions, lowest first, ties in order."""
+    return predictor.rank(pool)[: min(most, len(pool))]
+
+
 class Predictor(ABC):
     @abstractmethod
     def fit(self, x: np.ndarray, y: np.ndarray, held_x: np.ndarray | None = None, held_y: np.ndarray | None = None) -> Predictor: ...
@@ -227,7 +232,7 @@ class MixtureSearch:
         if self.predictor is None:
             return self.sampler.sample(n)
         pool = novel(self.sampler.sample(max(20 * n, 500)), np.array(self.state.weights))
-        top = pool[self.predictor.rank(pool)[: min(3 * self.config.search.sample_from_top_m, len(pool))]]
+        top = pool[top_candidates(pool, self.predictor, 3 * self.config.search.sample_from_top_m)]
         return self.sampler.around(top, n)
 
     def iterate(self, n: int) -> dict:

@@ -10,6 +10,7 @@ prefix over a small table, and windows run inside a (cluster, range) only.
 
 from __future__ import annotations
 
+from abc import ABC, abstractmethod
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -26,17 +27,31 @@ FALLBACK_DOCS = 100
 
 
 def prefix_sum(docs: DataFrame, value: str, by: str, order: str = "doc_id", range_docs: int = RANGE_DOCS, into: str = "before") -> DataFrame:
-    """docs with the sum of value over the rows of the same group with a smaller order key."""
-    ranged = docs.withColumn("_range", F.floor(F.col(order) / range_docs))
-    inner = W.partitionBy(by, "_range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    """docs with the sum of value over the rows of the same group with a smaller order key.
+
+    Null groups are a group and null keys come first; no row is lost. Ranges hold about range_docs
+    rows of evenly spread keys, dense or sparse: their width follows the keys' span and number.
+    """
+    span = docs.agg(F.min(order).alias("low"), F.max(order).alias("high"), F.count(order).alias("n")).first()
+    low, n = span["low"] or 0, max(span["n"], 1)
+    width = max(1, ((span["high"] or 0) - low + 1) * range_docs // n)
+    ranged = docs.withColumn("_range", F.floor((F.col(order) - F.lit(low)) / width))
+    inner = W.partitionBy(by, "_range").orderBy(F.col(order).asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
     sums = ranged.groupBy(by, "_range").agg(F.sum(value).alias("_sum"))
-    start = F.coalesce(F.sum("_sum").over(W.partitionBy(by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    earlier = W.partitionBy(by).orderBy(F.col("_range").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("_sum").over(earlier), F.lit(0))
     starts = sums.select(F.col(by).alias("_by"), F.col("_range").alias("_r"), start.alias("_start"))
     summed = ranged.withColumn("_in", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    joined = summed.join(starts, (F.col(by) == F.col("_by")) & (F.col("_range") == F.col("_r")))
+    joined = summed.join(starts, F.col(by).eqNullSafe(F.col("_by")) & F.col("_range").eqNullSafe(F.col("_r")))
     return joined.withColumn(into, (F.col("_start") + F.col("_in")).cast("long")).drop("_range", "_in", "_by", "_r", "_start")
 
 
+def cuts_up_to(cuts: Column, value: Column, parts: int) -> Column:
+    """How many of fewer than `parts` cuts in order are at most a value, by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in range(max(parts, 1).bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= F.size(cuts)) & (F.get(cuts, at + step - 1) <= value), at + step).otherwise(at))
+
+
 def ranked(docs: DataFrame, by: str, value: str, order: str = "doc_id", parts: int = RANK_PARTS, range_docs: int = RANGE_DOCS) -> DataFrame:
     """docs with `rank`, from 1 in order of value and then order within the group, and `group_rows`.
 
@@ -46,9 +61,10 @@ def ranked(docs: DataFrame, by: str, value: str, order: str = "doc_id", parts: i
     """
     cuts = docs.groupBy(by).agg(F.array_distinct(F.percentile_approx(value, [i / parts for i in range(1, parts)], 10 * parts)).alias("_cuts"), F.count("*").alias("group_rows"))
     placed = docs.join(cuts.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
-    tied = F.array_contains("_cuts", F.col(value))
-    part = F.struct(F.size(F.filter("_cuts", lambda c: c <= F.col(value))).alias("p"), (~tied).alias("above"), F.when(tied, F.floor(F.col(order) / range_docs)).otherwise(F.lit(0)).alias("r"))
-    placed = placed.withColumn("_part", part).drop("_cuts")
+    placed = placed.withColumn("_place", cuts_up_to(F.col("_cuts"), F.col(value), parts))
+    tied = F.coalesce(F.get("_cuts", F.col("_place") - 1) == F.col(value), F.lit(False))
+    part = F.struct(F.col("_place").alias("p"), (~tied).alias("above"), F.when(tied, F.floor(F.col(order) / range_docs)).otherwise(F.lit(0)).alias("r"))
+    placed = placed.withColumn("_part", part).drop("_cuts", "_place")
     counts = placed.groupBy(by, "_part").agg(F.count("*").alias("_n"))
     start = F.coalesce(F.sum("_n").over(W.partitionBy(by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select(F.col(by).alias("_by"), F.col("_part").alias("_at"), start.alias("_start"))
@@ -81,6 +97,23 @@ def select_by_mixture(docs: DataFrame, weights: Sequence[float], target_tokens:
     return chosen
 
 
+class MixtureSampler(ABC):
+    """Takes documents (doc_id, cluster_id, tokens) and weights to those that the mixture takes."""
+
+    @abstractmethod
+    def select(self, docs: DataFrame, weights: Sequence[float], target_tokens: int | None = None) -> DataFrame: ...
+
+
+class PrefixSampler(MixtureSampler):
+    """Documents in order until each cluster's budget is met."""
+
+    def __init__(self, seed: int = 42):
+        self.seed = seed
+
+    def select(self, docs: DataFrame, weights: Sequence[float], target_tokens: int | None = None) -> DataFrame:
+        return select_by_mixture(docs, weights, target_tokens, seed=self.seed)
+
+
 def hash_sample(docs: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """min(n, all) rows without replacement: those with the smallest hash of id and seed.
 
@@ -101,6 +134,11 @@ def hash_sample(docs: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return whole.unionByName(rest).drop("_bucket")
 
 
+def selected_texts(selected: DataFrame, texts: DataFrame, columns: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The given columns of selected documents with their texts (doc_id, text), which only meet here."""
+    return selected.select(*columns).join(texts.select("doc_id", "text"), "doc_id")
+
+
 def mixture_stats(docs: DataFrame, selected: DataFrame, weights: Sequence[float]) -> DataFrame:
     """A row for every cluster 0..K-1: documents and tokens, original and selected, and their ratio."""
     spark = docs.sparkSession

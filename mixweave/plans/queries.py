@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import DiscoveryConfig, FilterConfig, MixtureConfig, SearchConfig
@@ -152,8 +152,8 @@ def s12_shard_offsets(spark, sf_dir):
 
 @query("SELECT count(*)::BIGINT AS first_rows FROM documents WHERE source = (SELECT min(source) FROM documents)")
 def s13_first_shard_rows(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where("source is not null").groupBy(F.col("source").alias("shard_file")).agg(F.count("*").alias("n"))
-    return rows.agg(F.min_by("n", "shard_file").alias("first_rows"))
+    files = table(spark, sf_dir, "documents").where("source is not null").select(F.col("source").alias("shard_file"))
+    return spark.createDataFrame([(shards.first_shard_rows(files),)], "first_rows long")
 
 
 _CSV = "SELECT event_id AS run, CASE WHEN event_id % 11 = 0 THEN 'STEM' WHEN event_id % 13 = 0 THEN 'CORE' ELSE event_type END || ', 0.5, ' || CASE WHEN event_id % 7 = 0 THEN 'n/a' ELSE (event_id % 1000)::VARCHAR || '.25' END || CASE WHEN event_id % 5 = 0 THEN '' ELSE ', ' || (event_id % 10)::VARCHAR END AS line FROM events"
@@ -167,7 +167,7 @@ def _csv_lines(spark, sf_dir):
     return table(spark, sf_dir, "events").select(e.alias("run"), F.concat(name, F.lit(", 0.5, "), acc, loss).alias("value"))
 
 
-@query(f"WITH lines AS ({_CSV}), parts AS (SELECT run, string_split(line, ',') AS p FROM lines) SELECT run, trim(p[1]) AS task, try_cast(trim(p[3]) AS DOUBLE) AS acc, coalesce(try_cast(trim(p[4]) AS DOUBLE), 0.0) AS nll, trim(p[1]) = 'STEM' AS is_aggregate FROM parts WHERE len(p) >= 3 AND try_cast(trim(p[3]) AS DOUBLE) IS NOT NULL AND trim(p[1]) <> 'CORE'")
+@query(f"WITH lines AS ({_CSV}), parts AS (SELECT run, string_split(line, ',') AS p FROM lines) SELECT run, trim(p[1]) AS task, try_cast(trim(p[3]) AS DOUBLE) AS acc, coalesce(try_cast(trim(p[4]) AS DOUBLE), 0.0) AS nll, trim(p[1]) = 'STEM' AS is_aggregate FROM parts WHERE len(p) >= 3 AND (try_cast(trim(p[3]) AS DOUBLE) IS NOT NULL OR trim(p[1]) = 'STEM') AND trim(p[1]) <> 'CORE'")
 def s16_eval_csv(spark, sf_dir):
     return results.parse_eval_csv(_csv_lines(spark, sf_dir))
 
@@ -241,10 +241,10 @@ def p14_weights_key(spark, sf_dir):
 
 @query(f"WITH {_TIERED}, t AS (SELECT cluster_id, sum(tokens)::DOUBLE AS n FROM tiered GROUP BY 1) SELECT cluster_id, round(n / sum(n) OVER () * count(*) OVER (), 6) AS concentration, round(n / sum(n) OVER () * count(*) OVER () * n / sum(n) OVER (), 6) AS alpha FROM t")
 def p15_concentration(spark, sf_dir):
-    counts = clusters.token_counts(tiered(spark, sf_dir))
-    every = W.partitionBy()
-    p = F.col("num_tokens") / F.sum("num_tokens").over(every)
-    return counts.select("cluster_id", F.round(p * F.count("*").over(every), 6).alias("concentration"), F.round(p * p * F.count("*").over(every), 6).alias("alpha"))
+    rows = clusters.token_counts(tiered(spark, sf_dir)).orderBy("cluster_id").collect()  # a row per cluster
+    sampler = search.DirichletSampler([r["num_tokens"] for r in rows])
+    found = zip(rows, sampler.concentration, sampler.concentration * sampler.shares, strict=True)
+    return spark.createDataFrame([(r["cluster_id"], float(c), float(a)) for r, c, a in found], "cluster_id int, concentration double, alpha double").select("cluster_id", six("concentration"), six("alpha"))
 
 
 @query("""
@@ -312,10 +312,15 @@ def a8_quality_centroids(spark, sf_dir):
     return rows.select("cluster_id", *[F.round(F.get("centroid", F.lit(i)), 6).alias(q) for i, q in enumerate(QUALITY)])
 
 
-@query(f"WITH lines AS ({_CSV}), p AS (SELECT run % 8 AS run, string_split(line, ',') AS p FROM lines), r AS (SELECT run, trim(p[1]) AS task, try_cast(trim(p[3]) AS DOUBLE) AS acc, coalesce(try_cast(trim(p[4]) AS DOUBLE), 0.0) AS nll FROM p WHERE try_cast(trim(p[3]) AS DOUBLE) IS NOT NULL AND trim(p[1]) <> 'CORE'), g AS (SELECT run, max(acc) FILTER (task = 'STEM') AS a, max(nll) FILTER (task = 'STEM') AS n, avg(acc) FILTER (task <> 'STEM') AS ta, avg(nll) FILTER (task <> 'STEM') AS tn FROM r GROUP BY 1) SELECT run, round(coalesce(a, ta, 0.0), 6) AS acc, round(CASE WHEN coalesce(n, 0.0) <> 0 THEN n ELSE coalesce(tn, 0.0) END, 6) AS nll FROM g")
+@query(f"""WITH lines AS ({_CSV}), p AS (SELECT run AS line_no, run % 8 AS run, string_split(line, ',') AS p FROM lines),
+  r AS (SELECT run, line_no, trim(p[1]) AS task, try_cast(trim(p[3]) AS DOUBLE) AS acc, coalesce(try_cast(trim(p[4]) AS DOUBLE), 0.0) AS nll FROM p WHERE trim(p[1]) <> 'CORE'),
+  l AS (SELECT run, task, arg_max(acc, line_no) FILTER (acc IS NOT NULL) AS acc, arg_max(nll, line_no) FILTER (task = 'STEM' OR acc IS NOT NULL) AS nll FROM r WHERE task = 'STEM' OR acc IS NOT NULL GROUP BY 1, 2),
+  g AS (SELECT run, max(acc) FILTER (task = 'STEM') AS a, max(nll) FILTER (task = 'STEM') AS n, avg(acc) FILTER (task IN ('click', 'login', 'nowhere')) AS ta, avg(nll) FILTER (task IN ('click', 'login', 'nowhere')) AS tn FROM l GROUP BY 1)
+  SELECT run, round(coalesce(a, ta, 0.0), 6) AS acc, round(CASE WHEN coalesce(n, 0.0) <> 0 THEN n ELSE coalesce(tn, 0.0) END, 6) AS nll FROM g""")
 def a10_aggregate_metrics(spark, sf_dir):
-    rows = results.parse_eval_csv(_csv_lines(spark, sf_dir)).withColumn("run", F.col("run") % 8)
-    return results.aggregate_metrics(rows, "run").select("run", six("acc"), six("nll"))
+    """Runs of every eighth line; the validation tasks are two that are there and one that isn't."""
+    rows = results.parse_eval_csv(_csv_lines(spark, sf_dir)).withColumn("line_no", F.col("run")).withColumn("run", F.col("run") % 8)
+    return results.aggregate_metrics(rows, "run", ["click", "login", "nowhere"]).select("run", six("acc"), six("nll"))
 
 
 @query("SELECT event_type AS section, round(sum(value), 3) AS total, round(avg(value), 6) AS average, count(*)::BIGINT AS runs FROM events GROUP BY 1")
@@ -465,20 +470,30 @@ def j8_densify(spark, sf_dir):
 
 @query(f"WITH {_RESULTS} SELECT benchmark, round(avg(acc), 6) AS mean, round(stddev_pop(acc), 6) AS deviation, round(var_pop(acc), 6) AS variance, arg_min(config_id, (-acc, config_id)) AS best FROM results GROUP BY 1")
 def a9_spread(spark, sf_dir):
-    rows = proxy_results(spark, sf_dir).groupBy("benchmark").agg(F.avg("acc").alias("mean"), F.stddev_pop("acc").alias("deviation"), F.var_pop("acc").alias("variance"), F.min(F.struct((-F.col("acc")).alias("a"), "config_id")).alias("b"))
-    return rows.select("benchmark", six("mean"), six("deviation"), six("variance"), F.col("b.config_id").alias("best"))
+    return scoring.spread(proxy_results(spark, sf_dir)).select("benchmark", six("mean"), six("deviation"), six("variance"), "best")
 
 
-@query("WITH pool AS (SELECT vec_id, round_even(vec_id % 97 / 96.0::DOUBLE, 2) AS key FROM embeddings), tried AS (SELECT DISTINCT round_even(vec_id % 31 / 96.0::DOUBLE, 2) AS key FROM embeddings) SELECT vec_id, key FROM pool WHERE key NOT IN (SELECT key FROM tried)")
+@query("WITH pool AS (SELECT round_even(vec_id % 97 / 96.0::DOUBLE, 2) AS key FROM embeddings), tried AS (SELECT DISTINCT round_even(vec_id % 31 / 96.0::DOUBLE, 2) AS key FROM embeddings) SELECT key, count(*)::BIGINT AS n FROM pool WHERE key NOT IN (SELECT key FROM tried) GROUP BY 1")
 def j6_novel(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings")
-    key = lambda m: F.bround(F.col("vec_id") % m / 96.0, 2).alias("key")
-    return v.select("vec_id", key(97)).join(v.select(key(31)).distinct(), "key", "left_anti").select("vec_id", "key")
+    """Candidates of one weight each that round to none of those tried."""
+    ids = np.array([r["vec_id"] for r in table(spark, sf_dir, "embeddings").select("vec_id").collect()])  # a pool of candidates is bounded by configuration
+    fresh = search.novel((ids % 97 / 96.0)[:, None], (ids % 31 / 96.0)[:, None], 2)
+    return spark.createDataFrame([(float(x),) for x in np.round(fresh[:, 0], 2)], "key double").groupBy("key").agg(F.count("*").alias("n"))
+
+
+class _FirstWeight(search.Predictor):
+    def fit(self, x, y, held_x=None, held_y=None):
+        return self
+
+    def predict(self, x):
+        return x[:, 0]
 
 
 @query("SELECT event_id, value FROM events WHERE value IS NOT NULL ORDER BY value, event_id LIMIT 96")
 def l2_top_candidates(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("value is not null").select("event_id", "value").orderBy("value", "event_id").limit(96)
+    rows = table(spark, sf_dir, "events").where("value is not null").select("event_id", "value").orderBy("event_id").collect()  # as in j6
+    top = search.top_candidates(np.array([[r["value"]] for r in rows]), _FirstWeight(), 96)
+    return spark.createDataFrame([(rows[i]["event_id"], rows[i]["value"]) for i in top], "event_id long, value double")
 
 
 def _search_config():
@@ -498,8 +513,7 @@ def o5_mixture_search(spark, sf_dir):
 
 @query(f"WITH {_SELECT} SELECT s.doc_id, d.text FROM selected s JOIN documents d USING (doc_id)")
 def j2_selected_texts(spark, sf_dir):
-    chosen = selection.select_by_mixture(tiered(spark, sf_dir), WEIGHTS).select("doc_id")
-    return chosen.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return selection.selected_texts(selection.select_by_mixture(tiered(spark, sf_dir), WEIGHTS), table(spark, sf_dir, "documents"))
 
 
 @query("WITH a AS (SELECT event_type AS task, round(avg(value), 6) AS x FROM events WHERE user_id % 2 = 0 AND event_type <> 'view' GROUP BY 1), b AS (SELECT event_type AS task, round(avg(value), 6) AS x FROM events WHERE user_id % 2 = 1 AND event_type <> 'click' GROUP BY 1) SELECT task, a.x AS a, b.x AS b, round(a.x - b.x, 6) AS delta FROM a FULL JOIN b USING (task)")
@@ -513,13 +527,15 @@ def j7_compare_runs(spark, sf_dir):
 
 @query("SELECT task, count(*)::BIGINT AS n FROM (SELECT lang AS task FROM documents UNION ALL SELECT role FROM conversations) GROUP BY 1")
 def u1_concatenate(spark, sf_dir):
-    both = table(spark, sf_dir, "documents").select(F.col("lang").alias("task")).unionByName(table(spark, sf_dir, "conversations").select(F.col("role").alias("task")))
+    both = shards.concatenate(table(spark, sf_dir, "documents").select(F.col("lang").alias("task")), table(spark, sf_dir, "conversations").select("conv_id", F.col("role").alias("task")))
     return both.groupBy("task").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
+@query("SELECT name FROM (SELECT unnest(['lang', 'quality', 'toxic', 'fluency', 'text', 'n_chars']) AS name) EXCEPT SELECT column_name FROM (DESCRIBE labels)")
 def u4_difference(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id").subtract(table(spark, sf_dir, "labels").select("doc_id"))
+    """What a schema declares and a table lacks."""
+    schema = DatasetSchema.from_dict({"domain_col": "lang", "quality_cols": ["quality", "toxic", "fluency"], "text_col": "text", "char_count_col": "n_chars"})
+    return spark.createDataFrame([(c,) for c in schema.missing(table(spark, sf_dir, "labels"))], "name string")
 
 
 @query("WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS ordinal, count(*) OVER () AS n FROM documents) SELECT doc_id, (ordinal // 300)::INT AS shard, 'train' AS split FROM o UNION ALL SELECT doc_id, ((n + 299) // 300)::INT, 'val' FROM o WHERE ordinal < greatest(1, n // 100)")

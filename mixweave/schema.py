@@ -66,10 +66,14 @@ class DatasetSchema:
     def text_columns(self) -> list[str]:
         return [self.text_col, *([self.row_in_shard_col] if self.row_in_shard_col else [])]
 
+    def missing(self, df: DataFrame) -> list[str]:
+        """Declared columns that df lacks."""
+        optional = [c for c in (self.char_count_col, self.row_in_shard_col) if c]
+        return [c for c in dict.fromkeys([self.domain_col, *self.quality, self.text_col, *optional]) if c not in df.columns]
+
     def problems(self, df: DataFrame) -> list[str]:
         """Declared columns that df lacks, and those of a wrong type."""
         declared = {**{q: T.NumericType for q in self.quality}, self.text_col: T.StringType}
         declared |= {c: T.IntegralType for c in (self.char_count_col, self.row_in_shard_col) if c}
         types = {f.name: f.dataType for f in df.schema.fields}
-        missing = [f"missing column {c}" for c in [self.domain_col, *declared] if c not in types]
-        return missing + [f"column {c} is {types[c].simpleString()}" for c, kind in declared.items() if c in types and not isinstance(types[c], kind)]
+        return [f"missing column {c}" for c in self.missing(df)] + [f"column {c} is {types[c].simpleString()}" for c, kind in declared.items() if c in types and not isinstance(types[c], kind)]

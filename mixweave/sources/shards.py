@@ -10,12 +10,14 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import char_count, clean, shard_number, tokens_from_chars
+from ..functions.models import general_shards
 from ..schema import DatasetSchema
 
 
@@ -73,12 +75,29 @@ def read_texts(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFr
 def route(ids: DataFrame, offsets: DataFrame) -> DataFrame:
     """(doc_id, shard_file, row_in_file): where each id lies; ids outside go to the nearest file's end.
 
-    The files' table goes along with every row as one sorted array, so there's no range join.
+    Ids and files meet in an equi-join on buckets of the id range, a few for each file.
     """
-    packed = offsets.agg(F.sort_array(F.collect_list(F.struct("start", "rows", "shard_file"))).alias("files"))
-    inside = F.filter("files", lambda f: (f["start"] <= F.greatest("doc_id", F.lit(0))) & (f["rows"] > 0))
-    hit = F.element_at(inside, -1)
-    return ids.crossJoin(F.broadcast(packed)).select("doc_id", hit["shard_file"].alias("shard_file"), F.least(F.greatest(F.col("doc_id") - hit["start"], F.lit(0)), hit["rows"] - 1).alias("row_in_file"))
+    files = offsets.where("rows > 0").select("shard_file", "start", "rows")
+    size = files.agg(F.max(F.col("start") + F.col("rows")).alias("total"), F.count("*").alias("files")).first()
+    total, width = size["total"] or 1, max(1, (size["total"] or 1) // (4 * max(size["files"], 1)))
+    inside = F.greatest(F.lit(0), F.least(F.col("doc_id"), F.lit(total - 1)))
+    placed = ids.withColumn("_at", inside).withColumn("_bucket", F.floor(F.col("_at") / width))
+    spread = files.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("start") + F.col("rows") - 1) / width))))
+    met = placed.join(spread, "_bucket").where((F.col("_at") >= F.col("start")) & (F.col("_at") < F.col("start") + F.col("rows")))
+    return met.select("doc_id", "shard_file", (F.col("_at") - F.col("start")).alias("row_in_file"))
+
+
+def concatenate(*collections: DataFrame) -> DataFrame:
+    """The rows of several collections, by column name; what a collection lacks is null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), collections)
+
+
+def read_general(spark: SparkSession, path: str, selected: int, ratio: float, pattern: str = "*.parquet") -> DataFrame:
+    """The last shards of a general collection, as many as a blend with so many documents asks for,
+    with shard_file and row_in_file."""
+    names = last_shards([n for n, _, _ in list_files(spark, path, pattern)], general_shards(selected, ratio))
+    rows = spark.read.parquet(*[f"{path.rstrip('/')}/{n}" for n in names])
+    return rows.select("*", F.col("_metadata.file_name").alias("shard_file"), F.col("_metadata.row_index").alias("row_in_file"))
 
 
 def first_shard_rows(shards: DataFrame, default: int = 10_000) -> int:

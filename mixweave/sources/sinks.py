@@ -64,6 +64,11 @@ def cluster_json(info: DataFrame) -> str:
     return json.dumps([r.asDict() for r in rows.collect()], indent=2)  # a row per cluster
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def weights_json(weights: Sequence[float], labels: Sequence[str]) -> str:
     return json.dumps({label: float(w) for label, w in zip(labels, weights, strict=True)}, indent=2)
 

@@ -83,7 +83,7 @@ def test_last_shards():
 
 def test_eval_csv_rules(spark):
     lines = ["arc, 0.1, 0.5, 1.5", "gsm, 0.1, x, 2", "two, 3", "CORE, 1, 1, 1", "STEM, 0, 0.25", "math, 0, 0.75, bad"]
-    rows = results.parse_eval_csv(spark.createDataFrame([(0, x) for x in lines], "run long, value string"))
+    rows = results.parse_eval_csv(spark.createDataFrame([(0, i, x) for i, x in enumerate(lines)], "run long, line_no long, value string"))
     assert {(r["task"], r["acc"], r["nll"], r["is_aggregate"]) for r in rows.collect()} == {("arc", 0.5, 1.5, False), ("STEM", 0.25, 0.0, True), ("math", 0.75, 0.0, False)}
     assert [(r["acc"], r["nll"]) for r in results.aggregate_metrics(rows, "run").collect()] == [(0.25, 0.75)]
 
