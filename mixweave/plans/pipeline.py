@@ -24,6 +24,7 @@ from ..operators.selection import MixtureSampler, PrefixSampler, mixture_stats,
 from ..sources.results import latest_model_meta
 from ..sources.shards import cached
 from ..sources.sinks import cluster_json, markdown_report, weights_json, write_selected, write_shards, write_text
+from ..sources.staging import staged, unstaged
 from .experiments import MixtureExperiments, write_training_shards
 
 
@@ -39,8 +40,8 @@ class MixtureRun:
     target: ExperimentResult | None = None
 
     def release(self) -> None:
-        """Give back what the run holds in memory; its frames can still be read."""
-        self.docs.unpersist()
+        """Delete the run's staged documents; its frames can't be read any more."""
+        unstaged(self.docs)
 
 
 def discover_cached(docs: DataFrame, quality: Sequence[str], discovery: ClusterDiscovery, cache_dir: str, key: str) -> tuple[DataFrame, DataFrame]:
@@ -89,7 +90,7 @@ def run_pipeline(
 
     method = discovery or get_discovery(config.discovery)
     found, clusters = discover_cached(docs, quality, method, cache_dir, cache_key) if cache_dir else method.discover(docs, quality)
-    found = found.withColumn("original_cluster_id", F.col("cluster_id")).persist()
+    found = staged(found.withColumn("original_cluster_id", F.col("cluster_id")), "labelled")
     lap("discovery")
     filtered = get_filter(config.filtering).apply(found, quality)
     counts = {r["cluster_id"]: r["num_tokens"] for r in token_counts(filtered).collect()}  # a row per cluster

@@ -20,6 +20,7 @@ from ..functions.hashing import unit_hash
 from ..operators import blending, clusters, discovery, filters, scoring, search, selection
 from ..schema import DatasetSchema
 from ..sources import results, shards, sinks
+from ..sources.staging import staged
 from .pipeline import run_pipeline
 
 QUALITY = ("q1", "q2", "q3")
@@ -82,6 +83,11 @@ def tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.quality_tiers(documents(spark, sf_dir), QUALITY, TIERS)
 
 
+def labelled(docs: DataFrame, *more: str) -> DataFrame:
+    """What selection reads of labelled documents, staged: it is read several times."""
+    return staged(docs.select("doc_id", "cluster_id", "tokens", *more), "labelled")
+
+
 def proxy_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").where("value is not null")
     return events.groupBy((F.col("user_id") % 16).alias("config_id"), F.col("event_type").alias("benchmark")).agg(F.avg("value").alias("acc"), (F.max("value") - F.avg("value")).alias("nll"))
@@ -414,7 +420,7 @@ def a1_labelled_quality(spark, sf_dir):
 
 @query(f"WITH {_SELECT} SELECT doc_id, cluster_id, tokens, round(CASE WHEN budget >= cluster_tokens THEN 1.0 ELSE budget / cluster_tokens::DOUBLE END, 6) AS probability FROM selected")
 def d1_select_by_mixture(spark, sf_dir):
-    return selection.select_by_mixture(tiered(spark, sf_dir), WEIGHTS).select("doc_id", "cluster_id", "tokens", six("probability"))
+    return selection.select_by_mixture(labelled(tiered(spark, sf_dir)), WEIGHTS).select("doc_id", "cluster_id", "tokens", six("probability"))
 
 
 @query(f"WITH {_TIERED} SELECT doc_id, coalesce(sum(tokens) OVER (PARTITION BY cluster_id ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM tiered")
@@ -428,7 +434,7 @@ _STATS = "o AS (SELECT cluster_id, count(*) AS n, sum(tokens) AS t FROM tiered G
 
 @query(f"WITH {_SELECT}, {_STATS} SELECT w.cluster_id, round(weight, 6) AS weight, coalesce(o.n, 0)::BIGINT AS original_docs, coalesce(o.t, 0)::BIGINT AS original_tokens, coalesce(s.n, 0)::BIGINT AS selected_docs, coalesce(s.t, 0)::BIGINT AS selected_tokens, round(coalesce(s.n, 0) / greatest(coalesce(o.n, 0), 1), 6) AS ratio FROM weights w LEFT JOIN o USING (cluster_id) LEFT JOIN s USING (cluster_id)")
 def d2_mixture_stats(spark, sf_dir):
-    docs = tiered(spark, sf_dir)
+    docs = labelled(tiered(spark, sf_dir))
     stats = selection.mixture_stats(docs, selection.select_by_mixture(docs, WEIGHTS), WEIGHTS)
     return stats.withColumn("weight", F.round("weight", 6)).withColumn("ratio", F.round("ratio", 6))
 
@@ -513,7 +519,7 @@ def o5_mixture_search(spark, sf_dir):
 
 @query(f"WITH {_SELECT} SELECT s.doc_id, d.text FROM selected s JOIN documents d USING (doc_id)")
 def j2_selected_texts(spark, sf_dir):
-    return selection.selected_texts(selection.select_by_mixture(tiered(spark, sf_dir), WEIGHTS), table(spark, sf_dir, "documents"))
+    return selection.selected_texts(selection.select_by_mixture(labelled(tiered(spark, sf_dir)), WEIGHTS), table(spark, sf_dir, "documents"))
 
 
 @query("WITH a AS (SELECT event_type AS task, round(avg(value), 6) AS x FROM events WHERE user_id % 2 = 0 AND event_type <> 'view' GROUP BY 1), b AS (SELECT event_type AS task, round(avg(value), 6) AS x FROM events WHERE user_id % 2 = 1 AND event_type <> 'click' GROUP BY 1) SELECT task, a.x AS a, b.x AS b, round(a.x - b.x, 6) AS delta FROM a FULL JOIN b USING (task)")
@@ -577,7 +583,7 @@ def r6_unit_hash(spark, sf_dir):
 @query(f"WITH {_QUALITY}, kept_tokens AS (SELECT cluster_id, sum(tokens) AS t FROM pruned WHERE cluster_id >= 0 GROUP BY 1), total AS (SELECT sum(tokens)::DOUBLE AS t FROM docs), k AS (SELECT count(*) AS k FROM kept), p AS (SELECT *, floor((1.0::DOUBLE / (SELECT k FROM k)) * (SELECT t FROM total))::BIGINT AS budget, coalesce(sum(tokens) OVER (PARTITION BY cluster_id ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pruned WHERE cluster_id >= 0) SELECT cluster_id, count(*)::BIGINT AS original_docs, count(*) FILTER (before < budget)::BIGINT AS selected_docs, coalesce(sum(tokens) FILTER (before < budget), 0)::BIGINT AS selected_tokens FROM p GROUP BY 1")
 def mixture_selection_report(spark, sf_dir):
     """The flagship: tiers, pruning, equal weights, budgeted selection and its statistics."""
-    docs = clusters.prune(tiered(spark, sf_dir), QUALITY, 3.0)
+    docs = labelled(clusters.prune(labelled(tiered(spark, sf_dir), *QUALITY), QUALITY, 3.0))
     k = int(docs.agg(F.max("cluster_id").alias("m")).first()["m"]) + 1
     weights = [1.0 / k] * k
     stats = selection.mixture_stats(docs, selection.select_by_mixture(docs, weights), weights)
