@@ -7,13 +7,12 @@ that little evidence never blocks.
 
 Defined results: a null url, or one without "://", has an empty host and path and is judged by the
 corpus prior; null or repeated labels of a document count as its worst one; without any outcome all
-hosts are allowed; repeated rows each get a row; other columns are ignored.
+hosts are allowed; repeated rows each get a row; other columns are ignored. A rule as long as another
+that fits goes first in RULES. Urls of any length are taken whole; an empty url is one without "://".
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +20,10 @@ from .common import join_dimension, stage
 
 #: (host, path, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-#: Suffixes of two labels; any other suffix is the last label.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "co.nz", "com.br", "co.in", "co.za", "com.cn")
+#: A suffix has two labels if the last is a country's (two letters) and the other one of these kinds of
+#: registrant; any other suffix is the last label. Private suffixes (hosters) don't count.
+KINDS = ("ac", "co", "com", "ed", "edu", "firm", "gen", "go", "gob", "gouv", "gov", "govt", "gv", "id", "ind", "info", "lg", "ltd", "mil", "muni", "ne", "net", "nhs", "nom", "or", "org", "plc", "police", "sch", "school", "web")
+TWO_LABELS = rf"^(?:{'|'.join(KINDS)})\.[a-z][a-z]$"
 MIN_GOOD = 0.5
 Z = 1.6448536269514722
 #: Bounds of a prior's weight in pages; the lower one also makes up for a host counting in its domain.
@@ -39,14 +40,14 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _URL, 2), F.lit(""))
 
 
-def host_suffix(host: Column, two_label: Sequence[str] = TWO_LABEL_SUFFIXES) -> Column:
+def host_suffix(host: Column, two_labels: str = TWO_LABELS) -> Column:
     last2 = F.substring_index(host, ".", -2)
-    return F.when(last2.isin(*two_label), last2).otherwise(F.substring_index(host, ".", -1))
+    return F.when(last2.rlike(two_labels), last2).otherwise(F.substring_index(host, ".", -1))
 
 
-def host_domain(host: Column, two_label: Sequence[str] = TWO_LABEL_SUFFIXES) -> Column:
+def host_domain(host: Column, two_labels: str = TWO_LABELS) -> Column:
     last2 = F.substring_index(host, ".", -2)
-    return F.when(last2.isin(*two_label), F.substring_index(host, ".", -3)).otherwise(last2)
+    return F.when(last2.rlike(two_labels), F.substring_index(host, ".", -3)).otherwise(last2)
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -118,8 +119,8 @@ def labelled_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
     Good is quality 1 and toxic 0. Pages are counted by host and document before they are joined.
     """
-    urls = pages.select(url_host(F.col("url")).alias("host"), F.regexp_extract(url_path(F.col("url")), r"/(\d{1,18})(?:\.html)?/?$", 1).alias("number"))
-    counted = urls.where("number <> ''").groupBy("host", F.col("number").cast("long").alias("doc")).agg(F.count("*").alias("pages"))
+    urls = pages.select(url_host(F.col("url")).alias("host"), F.regexp_extract(url_path(F.col("url")), r"/(\d+)(?:\.html)?/?$", 1).alias("number"))
+    counted = urls.where("number <> ''").groupBy("host", F.col("number").try_cast("long").alias("doc")).agg(F.count("*").alias("pages"))
     good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")
     worst = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("doc")).agg(F.min(F.coalesce(good, F.lit(0))).alias("good"))
     return counted.join(worst, "doc").groupBy("host").agg(F.sum("pages").alias("n"), F.sum(F.col("pages") * F.col("good")).alias("k"))
@@ -140,7 +141,6 @@ _STRENGTH = """
   UNION ALL SELECT 1000.0 WHERE NOT EXISTS (SELECT 1 FROM {level} WHERE n > 0)
 """
 _LAST2 = "array_to_string(string_split(host, '.')[-2:], '.')"
-_TWO = ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES)
 _FITS = "((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"
 _LONGEST = sorted(RULES, key=lambda r: -len(r[0] + r[1]))
 URL_SQL = rf"""
@@ -151,11 +151,11 @@ WITH urls AS (
   SELECT doc_id AS doc, min(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) AS good FROM labels WHERE doc_id IS NOT NULL GROUP BY 1
 ), outcomes AS (
   SELECT host, count(*) AS n, sum(good) AS k
-  FROM (SELECT host, try_cast(regexp_extract(path, '/(\d{{1,18}})(?:\.html)?/?$', 1) AS BIGINT) AS doc FROM urls) JOIN worst USING (doc) GROUP BY host
+  FROM (SELECT host, try_cast(regexp_extract(path, '/(\d+)(?:\.html)?/?$', 1) AS BIGINT) AS doc FROM urls) JOIN worst USING (doc) GROUP BY host
 ), hosts AS (
   SELECT host, coalesce(n, 0) AS n, coalesce(k, 0) AS k,
-         CASE WHEN {_LAST2} IN ({_TWO}) THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE {_LAST2} END AS domain,
-         CASE WHEN {_LAST2} IN ({_TWO}) THEN {_LAST2} ELSE string_split(host, '.')[-1] END AS suffix
+         CASE WHEN regexp_matches({_LAST2}, '{TWO_LABELS}') THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE {_LAST2} END AS domain,
+         CASE WHEN regexp_matches({_LAST2}, '{TWO_LABELS}') THEN {_LAST2} ELSE string_split(host, '.')[-1] END AS suffix
   FROM (SELECT DISTINCT host FROM urls) LEFT JOIN outcomes USING (host)
 ), domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY 1, 2),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY 1),
