@@ -3,7 +3,7 @@
 Where no piece of the model crosses a whitespace marker (checked when the model is loaded), a text
 falls apart into marked words that the model segments independently of each other. Each batch
 collects its distinct marked words, has the library segment those not yet in the task's table, and
-joins ids back by position; ids are decoded through a table of the pieces' bytes. Models without that property are
+joins ids back by position; a word is segmented again in a task only after it was long unused. Ids are decoded through a table of the pieces' bytes. Models without that property are
 encoded text by text. Nothing is shuffled.
 
 Defined results: a null text counts as empty; an empty text gives the end id alone; ids and decoded
@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .common import slices
 
 MARK = "▁"
-#: Entries beyond which a task keeps a batch's new chunks for that batch only; bounds memory, not results.
+#: Entries beyond which a task drops the half of its table that was used longest ago; bounds memory, not results.
 TABLE_ENTRIES = 200_000
 #: Characters of text that are segmented at once.
 BATCH_CHARS = 4 << 20
@@ -70,6 +70,7 @@ class ChunkTable:
         self.codes: dict[str, int] = {"": 0}
         self.ids = np.array([self.mark], np.int32)
         self.starts, self.lens = np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.used, self.turn = np.zeros(1, np.int64), 0  # when each entry was used last
 
     def chunks(self, text: str) -> list[str]:
         """Marked words, each without its first marker."""
@@ -87,13 +88,19 @@ class ChunkTable:
         self.starts = np.concatenate([self.starts, np.cumsum(lens) - lens + len(self.ids)])
         self.lens = np.concatenate([self.lens, lens])
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.int32, int(lens.sum()))])
-
-    def forget(self, new: list[str]) -> None:
-        for chunk in new:
-            del self.codes[chunk]
-        first = len(self.starts) - len(new)
-        self.ids = self.ids[: self.starts[first]].copy()
-        self.starts, self.lens = self.starts[:first].copy(), self.lens[:first].copy()
+        self.used = np.concatenate([self.used, np.full(len(new), self.turn)])
+
+    def evict(self, most: int) -> None:
+        """Keep the entries used last, as many as given, and that of the bare marker."""
+        kept = np.sort(np.argsort(-self.used[1:], kind="stable")[: max(most, 0)]) + 1
+        kept = np.concatenate([[0], kept])
+        place = np.full(len(self.starts), -1, np.int64)
+        place[kept] = np.arange(len(kept))
+        self.codes = {chunk: int(place[code]) for chunk, code in self.codes.items() if place[code] >= 0}
+        lens = self.lens[kept]
+        starts = np.cumsum(lens) - lens
+        self.ids = self.ids[np.repeat(self.starts[kept] - starts, lens) + np.arange(lens.sum())]
+        self.starts, self.lens, self.used = starts, lens, self.used[kept]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Flat ids with the end id, their offsets by text, and the decoded texts."""
@@ -102,11 +109,13 @@ class ChunkTable:
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in each], dtype=np.int64)])
             return np.fromiter(chain.from_iterable(each), np.int32, int(offsets[-1])), offsets, self.sp.decode(each)
         words = [self.chunks(t) for t in texts]
+        self.turn += 1
         new = [w for w in set().union(*words) if w not in self.codes]
         if new:
             self.learn(new)
         counts = np.fromiter(map(len, words), np.int64, len(words))
         flat = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
+        self.used[flat] = self.turn
         starts, lens = self.starts[flat], self.lens[flat]
         row_of = np.repeat(np.arange(len(words)), counts)
         sizes = np.bincount(row_of, weights=lens, minlength=len(words)).astype(np.int64) + 1
@@ -114,8 +123,8 @@ class ChunkTable:
         out = np.full(offsets[-1], self.sp.eos_id(), np.int32)
         places = np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
         out[np.repeat(row_of, lens) + np.arange(len(places))] = self.ids[places]
-        if new and len(self.codes) > TABLE_ENTRIES:
-            self.forget(new)
+        if len(self.codes) > TABLE_ENTRIES:
+            self.evict(TABLE_ENTRIES // 2)
         ids = out.tolist()
         return out, offsets, [self.pieces.decode(ids[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
