@@ -6,7 +6,8 @@ to a diverse choice of its nearest nodes, of the nodes before it in a random ord
 that insertion would have made) and of those that chose it. Inner products turn into distances by
 one added coordinate. Searches descend through the layers with a beam, for many queries at once, and
 rescore what they find in double precision. Queries are held against all shards in passes of bounded
-size; a pass is broadcast, and a query's best of all shards are merged.
+size; a pass is broadcast, a task merges the best of its shards, and a query's best of all tasks are
+merged.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component, and rows
 with a null id, take no part; equal vectors are one node that lists its ids; rows that repeat an id
@@ -212,6 +213,19 @@ def load_graph(row: dict) -> Graph:
     return Graph(np.frombuffer(row["vectors"]).reshape(-1, row["dim"]), np.frombuffer(row["id_starts"], np.int64), np.frombuffer(row["ids"], np.int64), list(zip(members, links, strict=True)))
 
 
+def merged(one: tuple, other: tuple, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best of two results (query id, vec id, score) for each query; an id found twice counts once."""
+    query, ids, scores = (np.concatenate(x) for x in zip(one, other, strict=True))
+    order = np.lexsort((-scores, ids, query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    first = np.r_[True, (query[1:] != query[:-1]) | (ids[1:] != ids[:-1])][: len(query)]
+    query, ids, scores = query[first], ids[first], scores[first]
+    order = np.lexsort((ids, -scores, query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    kept = np.arange(len(query)) - np.searchsorted(query, query) < most
+    return query[kept], ids[kept], scores[kept]
+
+
 def search_graphs(graphs: DataFrame, queries: DataFrame, neighbours: int = NEIGHBOURS, beam: int = BEAM) -> DataFrame:
     """The best of each shard for each of queries (vec_id, embedding): query_id, vec_id, score."""
     spark = graphs.sparkSession
@@ -229,15 +243,20 @@ def search_graphs(graphs: DataFrame, queries: DataFrame, neighbours: int = NEIGH
         sent = spark.sparkContext.broadcast(by_dim)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
             for batch in batches:
-                for row in batch.to_pylist():
+                for i in range(batch.num_rows):
+                    (row,) = batch.slice(i, 1).to_pylist()
                     graph = load_graph(row)
                     ids, vectors = sent.value.get(row["dim"], (np.empty(0, np.int64), None))
                     for a in range(0, len(ids), QUERY_BLOCK):
-                        out = graph.search(ids[a : a + QUERY_BLOCK], vectors[a : a + QUERY_BLOCK], neighbours, beam)
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["query_id", "vec_id", "score"])
+                        new = graph.search(ids[a : a + QUERY_BLOCK], vectors[a : a + QUERY_BLOCK], neighbours, beam)
+                        best[row["dim"], a] = merged(best[row["dim"], a], new, neighbours) if (row["dim"], a) in best else new
+            for out in best.values():
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["query_id", "vec_id", "score"])
 
-        best = stage(graphs.repartition(shards).mapInArrow(run, "query_id long, vec_id long, score double"), "hnsw-found")
+        tasks = max(1, min(shards, 2 * spark.sparkContext.defaultParallelism))  # a task keeps its shards' best together
+        best = stage(graphs.repartition(tasks).mapInArrow(run, "query_id long, vec_id long, score double"), "hnsw-found")
         found = best if found is None else found.union(best)
     unstage(asked)
     return found
