@@ -1,17 +1,22 @@
 """Search of the mixture simplex: Dirichlet draws, boosted trees, and the iterative loop.
 
-All of its state is bounded by configuration (at most some 100,000 candidates of K weights), so it
-lives on the driver in numpy; nothing here grows with the corpus.
+All of the loop's state is bounded by configuration (at most some 100,000 candidates of K weights), so
+it lives on the driver in numpy; nothing there grows with the corpus. A pool that is a table is ranked
+by the executors (`top_rows`).
 """
 
 from __future__ import annotations
 
 import json
 from abc import ABC, abstractmethod
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from ..config import MixtureConfig, PredictorConfig
 from ..functions.models import BENCHMARK_SIZES, DEFAULT_BENCHMARK_SIZE, column_fraction, tree_params
@@ -59,6 +64,28 @@ def top_candidates(pool: np.ndarray, predictor: Predictor, most: int) -> np.ndar
     return predictor.rank(pool)[: min(most, len(pool))]
 
 
+def top_rows(pool: DataFrame, weights: Sequence[str], tie: str, predictor: Predictor, most: int) -> DataFrame:
+    """The rows of a pool of any size with the lowest predictions on the weights, lowest first, ties by the column tie.
+
+    Each task keeps the best `most` of what it has read, and of these the best are taken; nothing is
+    collected by the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for batch in batches:
+            some = pa.Table.from_batches([batch])
+            rows = (some if best is None else pa.concat_tables([best, some])).sort_by(tie)
+            at = top_candidates(np.column_stack([rows[w].to_numpy() for w in weights]), predictor, most)
+            best = rows.take(pa.array(at))
+        if best is not None:
+            scores = predictor.predict(np.column_stack([best[w].to_numpy() for w in weights])).astype(float)
+            yield from best.append_column("_score", pa.array(scores)).to_batches()
+
+    scored = pool.mapInArrow(run, StructType([*pool.schema.fields]).add("_score", DoubleType()))
+    return scored.orderBy("_score", F.col(tie).asc_nulls_last()).limit(most).drop("_score")
+
+
 class Predictor(ABC):
     @abstractmethod
     def fit(self, x: np.ndarray, y: np.ndarray, held_x: np.ndarray | None = None, held_y: np.ndarray | None = None) -> Predictor: ...

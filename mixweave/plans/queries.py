@@ -497,9 +497,8 @@ class _FirstWeight(search.Predictor):
 
 @query("SELECT event_id, value FROM events WHERE value IS NOT NULL ORDER BY value, event_id LIMIT 96")
 def l2_top_candidates(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where("value is not null").select("event_id", "value").orderBy("event_id").collect()  # as in j6
-    top = search.top_candidates(np.array([[r["value"]] for r in rows]), _FirstWeight(), 96)
-    return spark.createDataFrame([(rows[i]["event_id"], rows[i]["value"]) for i in top], "event_id long, value double")
+    pool = table(spark, sf_dir, "events").where("value is not null").select("event_id", "value")
+    return search.top_rows(pool, ["value"], "event_id", _FirstWeight(), 96)
 
 
 def _search_config():

@@ -107,3 +107,22 @@ def test_batches_keep_order_and_survive_failures(at_once):
     assert [r.config_id for r in kept] == [0, 1, 2, 3] and "no device" in kept[2].error
     assert evaluation.ExperimentResult.from_json(kept[0].to_json()) == kept[0]
     assert evaluation.run_target(experiment, [0.5, 0.5]).per_task_accuracies == {"a": 0.5}
+
+
+def test_rows_of_a_pool_are_ranked_by_the_executors(spark, sf_dir, monkeypatch):
+    from mixweave.plans import queries
+
+    values = [0.5, -1.0, float("nan"), 0.5, 0.25, -1.0, 2.0, 0.5]
+    rows = [(7 - i, v) for i, v in enumerate(values)] + [(None, 0.25)]
+    pool = spark.createDataFrame(rows, "id long, w double").repartition(3)
+    best = [(2, -1.0), (6, -1.0), (3, 0.25), (None, 0.25), (0, 0.5), (4, 0.5)]
+    assert [tuple(r) for r in search.top_rows(pool, ["w"], "id", queries._FirstWeight(), 6).collect()] == best
+    assert search.top_rows(pool.limit(0), ["w"], "id", queries._FirstWeight(), 6).count() == 0
+
+    def collected(self):
+        raise AssertionError("collected by the driver")
+
+    with monkeypatch.context() as m:
+        m.setattr(type(pool), "collect", collected)
+        out = queries.QUERIES["l2_top_candidates"](spark, sf_dir)
+    assert out.count() == 96
